@@ -6,7 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import survivor, topn, urls
+from . import canonical, names, residue, survivor, topn, truncation, urls
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    firms, emails = table(spark, d, "company_details"), table(spark, d, "extracted_email")
+    residual = residue.residue(firms, "company_id", ["snippet"]).select("company_id")
+    snippets = firms.join(residual, "company_id", "left_anti").select(F.lit("snippet").alias("field_name"), F.col("company_id").alias("record_id"), F.col("source_engine").alias("source"), F.col("snippet").alias("value"))
+    both = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in ("nearby_text", "html_context")]))
+    contexts = emails.select(F.col("email_id").alias("record_id"), F.col("extraction_method").alias("source"), both.alias("x"))
+    return snippets.unionByName(contexts.select(F.col("x.f").alias("field_name"), "record_id", "source", F.col("x.v").alias("value")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(_texts(spark, d)).where("cut").select("field_name", "record_id").distinct()
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The share of cut values for each field and source."""
+    return truncation.rates(truncation.truncated(_texts(spark, d)))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +40,18 @@ select company_id, email_id from one where company_id in (select company_id from
 qualify row_number() over (partition by company_id order by s desc, email_id) <= 5"""
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    emails, firms = table(spark, d, "extracted_email"), table(spark, d, "company_details")
+    typed = F.explode(F.array(F.struct(F.lit("job_title").alias("f"), F.col("job_title").alias("v")), F.struct(F.lit("role").alias("f"), F.col("role").alias("v"))))
+    values = emails.select(F.col("email_id").alias("record_id"), typed.alias("x")).select(F.col("x.f").alias("field_name"), "record_id", F.col("x.v").alias("value"))
+    values = values.unionByName(firms.select(F.lit("location").alias("field_name"), F.col("company_id").alias("record_id"), F.col("location").alias("value")))
+    return canonical.map_values(values, table(spark, d, "canonical_values"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "company_details"), "company_id", ["snippet", "company_name"]).select("company_id", "field_name")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     classes = urls.address_classes(table(spark, d, "company_details"), "company_id", "website_url")
     return urls.class_pairs(classes, "company_id").select(F.col("a").alias("company_id_a"), F.col("b").alias("company_id_b"))
@@ -46,6 +76,15 @@ def p6_golden(spark: SparkSession, d: str) -> DataFrame:
     return best.withColumnRenamed("key", "email").withColumnRenamed("urls", "all_source_urls")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    firms, emails = table(spark, d, "company_details"), table(spark, d, "extracted_email")
+    unnamed = residue.residue(firms, "company_id", ["company_name"]).select("company_id")
+    firm_names = firms.join(unnamed, "company_id", "left_anti").select(F.lit(0).cast("bigint").alias("scope"), F.col("company_id").alias("id"), F.col("company_name").alias("name"))
+    person_names = emails.select(F.col("company_id").alias("scope"), F.col("email_id").alias("id"), F.col("person_name").alias("name"))
+    found = [names.variant_pairs(names.linked_names(rows, key)).withColumn("field_name", F.lit(f)) for f, rows, key in (("company_name", firm_names, names.firm_key), ("person_name", person_names, names.person_key))]
+    return found[0].unionByName(found[1]).select("field_name", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
