@@ -39,3 +39,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder: computed once, its values fixed, and safe when an executor is lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, a plain scan, in as many partitions as there are cores if it has fewer, for work that outweighs moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
