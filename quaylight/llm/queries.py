@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canonical, names, residue, survivor, topn, truncation, urls
+from . import abuse, canonical, leaks, names, residue, survivor, tokens, topn, truncation, urls
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +85,32 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1]).select("field_name", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "ids")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scored(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("abusive").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    return _judged(spark, d).select("doc_id", "score")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of abusive documents of each source."""
+    return abuse.rates(_judged(spark, d))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

@@ -82,7 +82,7 @@ def has_slot(text: str) -> bool:
 
 def tokens_of(value: Column) -> Column:
     """The words of a value; in each, digits are one and the same sign."""
-    spaced = F.trim(F.regexp_replace(value, r"[\s  -​　﻿]+", " "))
+    spaced = F.trim(F.regexp_replace(value, r"[\s  -​ 　﻿]+", " "))
     return F.split(F.regexp_replace(spaced, "[0-9]", "0"), " ")
 
 
