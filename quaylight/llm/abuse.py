@@ -153,13 +153,14 @@ class Scorer:
         return float(max((self.passage(reveal(s)) for s in passages(text)), default=0.0)) if text else 0.0
 
 
-def fit(labelled: list[tuple[str, int]], rounds: int = 3, seed: int = 5) -> Scorer:
+def fit(labelled: list[tuple[str, int]], rounds: int = 2, folds: int = 3, right: float = 0.85, seed: int = 5) -> Scorer:
     """From whole texts and their labels to a scorer of passages.
 
-    A text labelled 1 has at least one abusive passage, which is not told; and labels err. So: passages of texts labelled 0 are clean, and so is what
-    is worded as often in them as chance would have it; the others of texts labelled 1 are suspected. A model is trained on that, and in
-    each round only those suspected passages stay that it scores over 0.5, or highest in their text; and texts labelled 0 lend no
-    passages that it holds for abusive beyond doubt.
+    A text labelled 1 has at least one abusive passage, which is not told; and labels err (`right` is the share presumed right). So a passage, by its
+    revealed words, is suspected if the labels of the texts that have it are likelier for an abusive passage than for a clean one. Of
+    the suspected those are positive at first whose words are out of line in texts labelled 0. In each round every suspected passage is judged by a
+    model of the other folds, which has not seen it, and only those that it holds for abusive are positive in the next; so passages
+    of texts that are labelled 1 by mistake are not learned by heart.
     """
     memory: dict = {}
     docs = [([k for s in passages(t) if (k := tuple(reveal(s)))], y) for t, y in labelled]
@@ -184,32 +185,29 @@ def fit(labelled: list[tuple[str, int]], rounds: int = 3, seed: int = 5) -> Scor
     def odd(p: tuple) -> float:
         return sum(max(0.0, np.log((words[1][w] + 0.5) / (n1 + 1) / ((words[0][w] + 0.5) / (n0 + 1)))) for w in set(p)) / (len(set(p)) + 1)
 
-    oddness = {p: odd(p) for p in seen[1] if not seen[0][p]}
+    # an abusive passage stands mostly in texts labelled 1, a clean one in as many as chance would have it
+    for_it, against = np.log(right / base), np.log((1 - right) / (1 - base))
+    oddness = {p: odd(p) for p in seen[1] if seen[1][p] * for_it + seen[0][p] * against > 0}
     positive = {p for p, o in oddness.items() if o > 0.5}
-    for ps, y in docs:
-        if y == 1 and (c := [p for p in ps if p in oddness]):
-            positive.add(max(c, key=oddness.__getitem__))
-    scorer = None
-    for r in range(rounds):
-        ps = [p for p in feats if seen[0][p] or p in positive or (scorer is not None and p in oddness)]
+    if not positive:
+        positive = set(sorted(oddness, key=lambda p: (-oddness[p], p))[: max(1, n1 // 2)])
+    fold = {p: _hash(" ".join(p)) % folds for p in feats}
+
+    def model(ps: list[tuple], steps: int, r: int) -> Scorer:
+        epochs = max(4, min(40, steps * 128 // max(1, len(ps))))  # as many steps for few passages as for many
         y = np.array([int(p in positive) for p in ps])
-        drop = np.zeros(len(ps), bool)
-        if scorer is not None:
-            s = np.array([scorer.passage(list(p)) for p in ps])
-            drop = (y == 0) & (s > 0.9)
         weight = np.array([min(4.0, 1 + np.log(seen[0][p] + seen[1][p])) for p in ps], np.float32)
         weight[y == 1] *= min(6.0, max(1.0, 0.5 * weight[y == 0].sum() / max(1e-9, weight[y == 1].sum())))
-        keep = np.flatnonzero(~drop)
-        m = Model(seed=seed + r).train([feats[ps[k]] for k in keep], y[keep], weight[keep])
-        scorer = Scorer(*m.scalars())
-        positive = set()
-        for d, label in docs:
-            if label == 1:
-                scored = {p: scorer.passage(list(p)) for p in d if p in oddness or seen[1][p] > 3 * base / (1 - base) * (seen[0][p] + 1)}
-                positive |= {p for p, x in scored.items() if x > 0.5}
-        if not positive:
+        return Scorer(*Model(seed=seed + r).train([feats[p] for p in ps], y, weight, epochs).scalars())
+
+    for r in range(rounds):
+        used = [p for p in feats if p not in oddness or p in positive or r]
+        judges = [model([p for p in used if fold[p] != k], 400, r * folds + k) for k in range(folds)]
+        kept = {p for p in oddness if judges[fold[p]].passage(list(p)) > 0.2}
+        if not kept:
             break
-    return scorer
+        positive = kept
+    return model(list(feats), 800, 99)
 
 
 def scored(documents: DataFrame, labels: DataFrame, most: int = 6_000, seed: int = 5) -> DataFrame:
