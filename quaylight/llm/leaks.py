@@ -65,9 +65,18 @@ class Index:
         terms = [w for w in query if w in self.docs]
         if sum(self.most[w] for w in terms) < least:
             return {}
-        at = dict.fromkeys(terms, 0)
+        # words that even together add little are only looked up where the others come near
+        common, spare = [], 0.0
+        for w in sorted(terms, key=self.most.__getitem__):
+            if spare + self.most[w] > 0.5 * least:
+                break
+            spare += self.most[w]
+            common.append(w)
+        total, least = least, least - spare
+        skip = set(common)
+        at = {w: 0 for w in terms if w not in skip}
         out: dict[int, float] = {}
-        live = sorted(terms, key=lambda w: self.docs[w][0])
+        live = sorted(at, key=lambda w: self.docs[w][0])
         while live:
             bound, pivot = 0.0, -1
             for k, w in enumerate(live):
@@ -93,7 +102,12 @@ class Index:
                     if p < len(self.docs[w]) and self.docs[w][p] == doc:
                         score += self.weights[w][p]
                 if score >= least:
-                    out[doc] = score
+                    for w in common:
+                        p = bisect_left(self.docs[w], doc)
+                        if p < len(self.docs[w]) and self.docs[w][p] == doc:
+                            score += self.weights[w][p]
+                    if score >= total:
+                        out[doc] = score
             for w in live[: pivot + 1]:
                 at[w] = bisect_left(self.docs[w], doc + 1, at[w])
             live = sorted((w for w in live if at[w] < len(self.docs[w])), key=lambda w: self.docs[w][at[w]])
