@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import rules
-from .urls import email_domain, first_of, has_any, host, path, root_domain
+from .urls import email_domain, first_of, has_any, host, path, root_domain, strip
 
 
 def plain(email: Column) -> Column:
-    return F.lower(F.trim(email))
+    return F.lower(strip(email))
 
 
 def digits(phone: Column) -> Column:
@@ -59,7 +59,11 @@ def emails_in(text: Column) -> Column:
 
 def hidden_emails_in(text: Column) -> Column:
     """Mailboxes whose signs are written out: (at) and (dot), AT and DOT, {at} and {dot}, character entities."""
-    each = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m, p=p: F.lower(F.concat(F.regexp_extract(m, p, 1), F.lit("@"), F.regexp_extract(m, p, 2), F.lit("."), F.regexp_extract(m, p, 3)))) for p in rules.OBFUSCATED]
+    def written(p: str) -> Column:
+        mail = lambda m: F.lower(F.concat(F.regexp_extract(m, p, 1), F.lit("@"), F.regexp_extract(m, p, 2), F.lit("."), F.regexp_extract(m, p, 3)))
+        return F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), mail)
+
+    each = [written(p) for p in rules.OBFUSCATED]
     return F.array_distinct(F.concat(*each))
 
 
@@ -113,7 +117,7 @@ def platform(url: Column) -> Column:
     out = F.when(F.lit(False), "")
     for name, domains in rules.PLATFORMS.items():
         out = out.when(has_any(F.lower(url), domains), name)
-    return out
+    return out.otherwise("")
 
 
 def company_page(url: Column) -> Column:

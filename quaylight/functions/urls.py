@@ -82,9 +82,14 @@ def absolute(base: Column, href: Column) -> Column:
     return resolve(base, href)
 
 
+def strip(text: Column) -> Column:
+    """Without blanks, tabs and line ends around it."""
+    return F.trim(text, F.lit(" \t\r\n"))
+
+
 def email_domain(email: Column) -> Column:
     """What follows the first @, in lower case; '' without one."""
-    return F.when(email.contains("@"), F.lower(F.trim(F.get(F.split(email, "@"), F.lit(1))))).otherwise("")
+    return F.when(email.contains("@"), F.lower(strip(F.get(F.split(email, "@"), F.lit(1))))).otherwise("")
 
 
 def without_tracking(url: Column) -> Column:

@@ -240,14 +240,14 @@ def ordered_emails(spark, d):
 METHOD_ORDER = ["mailto", "regex", "obfuscated", "cloudflare", "html_attribute", "json_ld", "structured_data", "javascript"]
 
 
-@query(f"""with ee as ({EMAIL_SQL}) select source_url, lower(trim(email)) email_key, arg_min(email_id, (coalesce(nullif(list_position({METHOD_ORDER}, extraction_method), 0), 99), email_id)) email_id from ee where source_url <> '' and trim(email) <> '' group by 1, 2""")
+@query(f"""with ee as ({EMAIL_SQL}) select source_url, lower(trim(email, ' ' || chr(9) || chr(10) || chr(13))) email_key, arg_min(email_id, (coalesce(nullif(list_position({METHOD_ORDER}, extraction_method), 0), 99), email_id)) email_id from ee where source_url <> '' and trim(email, ' ' || chr(9) || chr(10) || chr(13)) <> '' group by 1, 2""")
 def first_method_per_page(spark, d):
-    e = emails(spark, d, "email", "source_url", "extraction_method").where("source_url <> '' and trim(email) <> ''").withColumn("email_key", contacts.plain(F.col("email")))
+    e = emails(spark, d, "email", "source_url", "extraction_method").where("source_url <> ''").withColumn("email_key", contacts.plain(F.col("email")))
     at = F.array_position(F.array(*[F.lit(m) for m in METHOD_ORDER]), F.col("extraction_method"))
     return choose.first_wins(e.withColumn("m", F.coalesce(F.nullif(at, F.lit(0)), F.lit(99))), ["source_url", "email_key"], ["m", "email_id"]).select("source_url", "email_key", "email_id")
 
 
-MERGED_SQL = f"""with ee as ({EMAIL_SQL}), x as (select *, lower(trim(email)) email_key, (extracted_at, email_id) ord from ee where company_id is not null and lower(trim(email)) <> ''),
+MERGED_SQL = f"""with ee as ({EMAIL_SQL}), x as (select *, lower(trim(email, ' ' || chr(9) || chr(10) || chr(13))) email_key, (extracted_at, email_id) ord from ee where company_id is not null and lower(trim(email, ' ' || chr(9) || chr(10) || chr(13))) <> ''),
  r as (select *, row_number() over (partition by company_id, email_key order by coalesce(confidence_score, 0) desc, case when extraction_method = 'mailto' then 0 else 1 end, extracted_at, email_id) wins, row_number() over (partition by company_id, email_key order by extracted_at, email_id) n from x),
  m as (select w.company_id, w.email_key, w.source_url, w.extraction_method, w.person_name, w.job_title, w.role, w.confidence_score, f.source_url best_source_url, f.extracted_at first_at, f.email_id first_id, w.source_page_type from r w join r f using (company_id, email_key) where w.wins = 1 and f.n = 1)"""
 
@@ -328,10 +328,10 @@ def first_link_per_platform(spark, d):
     return choose.first_per_platform(x)
 
 
-@query("""with m as (select substr(email, strpos(email, '@') + 1) dom, * from (select distinct email_id, lower(trim(email)) email from extracted_email where email like '%@%')),
- mx as (select distinct split_part(lower(trim(email)), '@', 2) dom from extracted_email where email like '%@%' and mx_valid) select email_id, coalesce(mx.dom is not null, false) has_mx from m left join mx on split_part(m.email, '@', 2) = mx.dom""")
+@query("""with m as (select substr(email, strpos(email, '@') + 1) dom, * from (select distinct email_id, lower(trim(email, ' ' || chr(9) || chr(10) || chr(13))) email from extracted_email where email like '%@%')),
+ mx as (select distinct split_part(lower(trim(email, ' ' || chr(9) || chr(10) || chr(13))), '@', 2) dom from extracted_email where email like '%@%' and mx_valid) select email_id, coalesce(mx.dom is not null, false) has_mx from m left join mx on split_part(m.email, '@', 2) = mx.dom""")
 def mx_join(spark, d):
-    e = emails(spark, d, "email", "mx_valid").where("email like '%@%'").withColumn("dom", urls.email_domain(F.trim("email")))
+    e = emails(spark, d, "email", "mx_valid").where("email like '%@%'").withColumn("dom", urls.email_domain(F.col("email")))
     facts = e.where("mx_valid").select("dom").distinct().withColumn("has_mx", F.lit(True))
     return e.join(facts, "dom", "left").select("email_id", F.coalesce("has_mx", F.lit(False)).alias("has_mx"))
 
