@@ -50,7 +50,7 @@ def is_mobile(context: Column) -> Column:
 def phones_in(text: Column) -> Column:
     """The numbers in a text by four patterns, one after the other, those of 7 to 15 digits."""
     found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in rules.PHONES])
-    return F.filter(F.transform(found, F.trim), phone_valid)
+    return F.filter(F.transform(found, lambda x: F.trim(x)), phone_valid)
 
 
 def emails_in(text: Column) -> Column:

@@ -69,11 +69,15 @@ class _Reader(HTMLParser):
                 link = {"pos": e["pos"], "href": a["href"].strip(), "text": text, "class": a.get("class", ""), "near": None}
                 self.links.append(link)
                 if self.stack:
-                    self.stack[-1].setdefault("wait", []).append(link)
+                    self.stack[-1].setdefault("wait", []).append((link, 1))
             if a.get("class") or a.get("id") or a.get("itemprop"):
                 self.classed.append({"pos": e["pos"], "class": " ".join((a.get("class", ""), a.get("id", ""), a.get("itemprop", ""))).lower(), "text": text[:500]})
-            for link in e.get("wait", []):
-                link["near"] = text[:500]
+            for link, up in e.get("wait", []):
+                # what surrounds a link: the nearest of five ancestors that says more than the link
+                if len(text) > 20 or up == 5 or not self.stack:
+                    link["near"] = text[:500]
+                else:
+                    self.stack[-1].setdefault("wait", []).append((link, up + 1))
             if self.stack and tag not in _SILENT:
                 self.stack[-1]["text"].append((" " if tag in _BLOCK else "") + "".join(e["text"]) + (" " if tag in _BLOCK else ""))
 

@@ -1 +1,149 @@
+"""Queries over parsed pages. The pages are made from customer rows, so what must be found is known from the row."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+from ..operators import choose, html
+from ..session import table
+from .registry import query
+
+PAGE = """concat('<html><head><title>', case c_custkey % 4 when 0 then 'Meet the team' when 1 then 'Home' when 2 then 'Our story' else 'Call us' end, '</title><meta name="contact-email" content="meta', c_custkey, '@site.example"><meta property="article:publisher" content="https://www.facebook.com/pub', c_custkey, '">',
+ '<meta name="description" content="Listings and more"><script>var m = "js', c_custkey, '@site.example";</script><script type="application/ld+json">{"@type":"Organization","email":"mailto:ld', c_custkey, '@site.example","sameAs":["https://www.linkedin.com/company/c-', c_custkey, '/"],"member":[{"email":"member', c_custkey, '@site.example"}]}</script></head>',
+ '<body><h1>Welcome</h1><nav><a href="/contact-us/">Contact</a> <a href="about?x=1#top">About</a> <a href="https://other.example/z">Other</a> <a href="#top">Top</a> <a href="javascript:void(0)">No</a></nav>',
+ '<div><h3>Ann Lee', '</h3><p>Managing Broker<p>Unclosed <b>bold<a href="mailto:Box.', c_custkey, '@site.example?subject=hi%20there">mail</a></div><p>Write to text', c_custkey, '@site.example, or ring +1 555 010 ', lpad(cast(c_custkey % 10000 as string), 4, '0'), '.</p>',
+ '<p>hidden', c_custkey, ' [at] site [dot] example</p><span data-email="attr', c_custkey, '@site.example"></span><button onclick="go(''click', c_custkey, '@site.example'')">x</button>',
+ '<a href="tel:+1', lpad(cast(c_custkey as string), 10, '2'), '">call</a><a class="social-link" href="https://www.instagram.com/c', c_custkey, '/?u=1">in</a><a href="https://x.com/search?q=1">find</a></body></html>')"""
+
+
+def contact_pages(spark, d) -> DataFrame:
+    u = F.expr("concat('https://www.site', c_custkey, case c_custkey % 3 when 0 then '.example/' when 1 then '.example/contact-us' else '.example/x/y' end)")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), u.alias("url"), F.expr(PAGE).alias("html"))
+
+
+def parsed(spark, d) -> DataFrame:
+    return html.parse(contact_pages(spark, d))
+
+
+def mail_sql(name: str) -> str:
+    return f"select c_custkey page_id, '{name}' || c_custkey || '@site.example' value from customer"
+
+
+@query(mail_sql("box."))
+def html_mailto(spark, d):
+    return html.mailto(parsed(spark, d)).select("page_id", "value")
+
+
+@query(mail_sql("text"))
+def html_visible(spark, d):
+    return html.visible_mails(parsed(spark, d)).select("page_id", "value")
+
+
+@query(mail_sql("hidden"))
+def html_hidden(spark, d):
+    return html.hidden_mails(parsed(spark, d)).select("page_id", "value")
+
+
+@query(mail_sql("attr") + " union all " + mail_sql("click"))
+def html_attrs(spark, d):
+    return html.attribute_mails(parsed(spark, d)).select("page_id", "value")
+
+
+@query(mail_sql("ld") + " union all " + mail_sql("member"))
+def html_jsonld(spark, d):
+    return html.jsonld_mails(parsed(spark, d)).select("page_id", "value")
+
+
+@query(mail_sql("meta"))
+def html_meta(spark, d):
+    return html.meta_mails(parsed(spark, d)).select("page_id", "value")
+
+
+@query(mail_sql("js"))
+def html_script(spark, d):
+    return html.script_mails(parsed(spark, d)).select("page_id", "value")
+
+
+ALL = [("box.", "mailto"), ("text", "regex"), ("hidden", "obfuscated"), ("attr", "html_attribute"), ("click", "html_attribute"), ("ld", "json_ld"), ("member", "json_ld"), ("meta", "structured_data"), ("js", "javascript")]
+
+
+@query(" union all ".join(f"select c_custkey page_id, '{n}' || c_custkey || '@site.example' value, '{m}' \"method\" from customer" for n, m in ALL))
+def page_mailboxes(spark, d):
+    rows = html.all_mails(parsed(spark, d))
+    return choose.first_wins(rows, ["page_id", "value"], ["method_ord", "pos"]).select("page_id", "value", "method")
+
+
+@query("select c_custkey page_id, '+1' || lpad(c_custkey::varchar, 10, '2') value from customer")
+def html_tel(spark, d):
+    return html.tel(parsed(spark, d)).select("page_id", "value")
+
+
+@query("select c_custkey page_id, '+1 555 010 ' || lpad((c_custkey % 10000)::varchar, 4, '0') value from customer")
+def html_phones(spark, d):
+    p = html.text_phones(parsed(spark, d)).where("value like '+1 555%'")
+    return p.select("page_id", "value").distinct()
+
+
+@query("""select c_custkey page_id, 'linkedin' platform, 'https://www.linkedin.com/company/c-' || c_custkey link from customer union all select c_custkey, 'facebook', 'https://www.facebook.com/pub' || c_custkey from customer
+ union all select c_custkey, 'instagram', 'https://www.instagram.com/c' || c_custkey from customer""")
+def html_social(spark, d):
+    from ..functions.contacts import social_key
+
+    rows = html.socials(parsed(spark, d)).withColumn("link", social_key(F.col("value")))
+    return choose.first_wins(rows, ["page_id", "link"], ["method_ord", "pos"]).select("page_id", "platform", "link")
+
+
+@query("""with b as (select c_custkey page_id, 'https://www.site' || c_custkey || '.example' s, c_custkey % 3 k from customer) select page_id, s || '/contact-us' link from b union all
+ select page_id, s || case k when 2 then '/x/about?x=1' else '/about?x=1' end from b""")
+def html_links(spark, d):
+    return html.internal_links(parsed(spark, d)).select("page_id", "link")
+
+
+@query("select c_custkey page_id, case c_custkey % 3 when 0 then 'homepage' when 1 then 'contact' else case c_custkey % 4 when 0 then 'team' when 2 then 'about' when 3 then 'contact' else 'other' end end page_class from customer")
+def page_class(spark, d):
+    return html.page_class(parsed(spark, d)).select("page_id", "page_class")
+
+
+@query("select c_custkey page_id, case c_custkey % 4 when 0 then 'Meet the team' when 1 then 'Home' when 2 then 'Our story' else 'Call us' end title, 'Welcome' h1 from customer")
+def html_title_h1(spark, d):
+    return parsed(spark, d).select("page_id", "title", F.get("headings", F.lit(0)).alias("h1"))
+
+
+@query("select c_custkey page_id, 'Ann Lee' person_name from customer")
+def person_context(spark, d):
+    return html.person_near(parsed(spark, d)).select("page_id", "person_name")
+
+
+@query("select n_nationkey, '<b>' || n_name || '</b> & co' said from nation")
+def entities_decoded(spark, d):
+    from ..functions.contacts import unescape
+
+    return table(spark, d, "nation").select("n_nationkey", unescape(F.concat(F.lit("&lt;b&gt;"), "n_name", F.lit("&lt;/b&gt; &amp; co"))).alias("said"))
+
+
+@query("""select n_nationkey, 'https://n' || n_nationkey || '.example' || p loc from nation, (values ('/contact'), ('/deep/team/page-1')) v(p)""")
+def sitemap_pages(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("https://n"), F.col("n_nationkey").cast("string"), F.lit(".example")).alias("s"))
+    robots = n.select(F.concat("s", F.lit("/robots.txt")).alias("url"), F.concat(F.lit("User-agent: *\nSitemap: "), "s", F.lit("/index.xml\n")).alias("body"))
+    loc = lambda p: F.concat(F.lit("<url><loc>"), "s", F.lit(f"{p}</loc></url>"))
+    index = n.select(F.concat("s", F.lit("/index.xml")).alias("url"), F.concat(F.lit("<sitemapindex><sitemap><loc>"), "s", F.lit("/pages.xml</loc></sitemap></sitemapindex>")).alias("body"))
+    maps = n.select(F.concat("s", F.lit("/pages.xml")).alias("url"), F.concat(F.lit("<urlset>"), loc("/contact/"), loc("/deep/team/page-1"), loc("/blog/team"), loc("/a/b/c"), F.lit("</urlset>")).alias("body"))
+    found = html.discover_sitemap_urls(robots, index.unionByName(maps))
+    return found.withColumn("s", F.regexp_extract("url", "^[^/]*//[^/]*", 0)).join(n, "s").select("n_nationkey", "loc")
+
+
+@query("""with e as (select distinct email_id, html_context h from extracted_email where html_context <> '') select email_id, lower(regexp_extract(h, 'href="mailto:([^"?]*)', 1)) value from e where starts_with(h, '<') and regexp_matches(h, '<a href="mailto:[^"]*@[^"]*">[^<]*</a>')""")
+def context_mailto(spark, d):
+    e = table(spark, d, "extracted_email").where("html_context like '<%'").select(F.col("email_id").alias("page_id"), F.lit("https://s.example/").alias("url"), F.col("html_context").alias("html")).distinct()
+    whole = e.where(F.col("html").rlike('<a href="mailto:[^"]*@[^"]*">[^<]*</a>'))
+    return html.mailto(html.parse(whole)).select(F.col("page_id").alias("email_id"), "value")
+
+
+@query("""select doc_id, url from documents where url is not null union select company_id, website_url from company_details where website_url is not null""")
+def links_and_sites(spark, d):
+    a = table(spark, d, "documents").where("url is not null").select("doc_id", "url")
+    return a.union(table(spark, d, "company_details").where("website_url is not null").select("company_id", "website_url")).distinct()
+
 
