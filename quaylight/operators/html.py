@@ -15,7 +15,7 @@ from ..functions import contacts, rules, urls
 
 PARSED = (
     "title string, headings array<string>, metas array<struct<name:string,content:string>>, links array<struct<pos:int,href:string,text:string,class:string,near:string>>, "
-    "attributes array<struct<pos:int,name:string,value:string>>, scripts array<struct<pos:int,kind:string,body:string>>, classed array<struct<pos:int,class:string,text:string>>, visible string, everything string"
+    "attributes array<struct<pos:int,name:string,value:string>>, scripts array<struct<pos:int,kind:string,body:string>>, classed array<struct<pos:int,class:string,text:string>>, ld_mails array<string>, ld_profiles array<string>, visible string, everything string"
 )
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _SILENT = {"script", "style", "noscript"}
@@ -92,9 +92,10 @@ class _Reader(HTMLParser):
     def row(self) -> dict:
         self._close(0)
         text = lambda parts: " ".join(" ".join(parts).split())
+        data = [x["body"] for x in sorted(self.scripts, key=lambda x: x["pos"]) if "ld+json" in x["kind"]]
         return {
             "title": self.title, "headings": self.headings, "metas": self.metas, "links": sorted(self.links, key=lambda x: x["pos"]), "attributes": self.attributes, "scripts": self.scripts,
-            "classed": sorted(self.classed, key=lambda x: x["pos"]), "visible": text(self.visible), "everything": text(self.everything),
+            "classed": sorted(self.classed, key=lambda x: x["pos"]), "ld_mails": [m for b in data for m in json_mails(b)], "ld_profiles": [m for b in data for m in json_profiles(b)], "visible": text(self.visible), "everything": text(self.everything),
         }
 
 
@@ -118,7 +119,7 @@ def parse(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [read_page(h if isinstance(h, str) else None) for h in b["html"]]
-            out = pd.DataFrame(rows, columns=["title", "headings", "metas", "links", "attributes", "scripts", "classed", "visible", "everything"])
+            out = pd.DataFrame(rows, columns=["title", "headings", "metas", "links", "attributes", "scripts", "classed", "ld_mails", "ld_profiles", "visible", "everything"])
             out.insert(0, "page_id", b["page_id"].to_numpy())
             out.insert(1, "url", b["url"].to_numpy())
             out.insert(2, "raw", b["html"].to_numpy())
@@ -127,14 +128,22 @@ def parse(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInPandas(run, f"page_id bigint, url string, raw string, {PARSED}")
 
 
-def _rows(parsed: DataFrame, items: Column, method: str, order: int, value: Column, near: Column | None = None) -> DataFrame:
-    exploded = parsed.select("page_id", "url", F.explode(items).alias("x"))
-    pos = F.col("x.pos") if "pos" in exploded.schema["x"].dataType.simpleString() else F.lit(0)
-    return exploded.select("page_id", "url", F.lit(method).alias("method"), F.lit(order).alias("method_ord"), pos.cast("int").alias("pos"), value.alias("value"), (near if near is not None else F.lit("")).alias("near"))
+FOUND = "array<struct<method:string,method_ord:int,pos:int,value:string,near:string>>"
 
 
-def _numbered(found: Column) -> Column:
-    return F.transform(found, lambda v, i: F.struct(i.cast("int").alias("pos"), v.alias("v")))
+def _found(items: Column, method: str, order: int, value, near=None, pos=None) -> Column:
+    """Items of a parsed page as rows to be: method, its order, position, value and what is near."""
+    made = lambda x, i: F.struct(F.lit(method).alias("method"), F.lit(order).alias("method_ord"), (pos(x) if pos else i).cast("int").alias("pos"), value(x).alias("value"), (near(x) if near else F.lit("")).alias("near"))
+    return F.transform(items, made).cast(FOUND)
+
+
+def _rows(parsed: DataFrame, *found: Column) -> DataFrame:
+    """One pass over the parsed pages, however many methods there are."""
+    return parsed.select("page_id", "url", F.inline(F.concat(*found)))
+
+
+def _mails(found: Column) -> Column:
+    return F.filter(found, lambda r: r["value"].contains("@"))
 
 
 def json_mails(body: str | None) -> list[str]:
@@ -170,99 +179,134 @@ def json_profiles(body: str | None) -> list[str]:
     return out
 
 
-def _json_rows(parsed: DataFrame, read, method: str, order: int) -> DataFrame:
-    scripts = parsed.select("page_id", "url", F.explode("scripts").alias("x")).where("x.kind like '%ld+json%'").select("page_id", "url", "x.pos", "x.body")
+def _mailto() -> Column:
+    links = F.filter("links", lambda x: F.lower(x["href"]).startswith("mailto:"))
+    plain = lambda x: F.replace(F.substring_index(F.regexp_replace(x["href"], "^(?i)mailto:", ""), "?", 1), F.lit("+"), F.lit("%2B"))
+    return _mails(_found(links, "mailto", 1, lambda x: F.lower(F.trim(F.coalesce(F.try_url_decode(plain(x)), F.lit("")))), lambda x: x["near"], lambda x: x["pos"]))
+
+
+def _visible_mails() -> Column:
+    return _found(contacts.emails_in(F.col("visible")), "regex", 2, lambda v: v)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(p, u, k, v) for p, u, k, body in zip(b["page_id"], b["url"], b["pos"], b["body"]) for v in read(body)]
-            yield pd.DataFrame(rows, columns=["page_id", "url", "pos", "value"]).astype({"page_id": "int64", "pos": "int32"})
 
-    found = scripts.mapInPandas(run, "page_id bigint, url string, pos int, value string")
-    return found.select("page_id", "url", F.lit(method).alias("method"), F.lit(order).alias("method_ord"), "pos", "value", F.lit("").alias("near"))
+def _hidden_mails() -> Column:
+    return _found(contacts.hidden_emails_in(F.coalesce("raw", F.lit(""))), "obfuscated", 3, lambda v: v)
+
+
+def _masked_mails() -> Column:
+    masked = F.filter("attributes", lambda x: x["name"] == "data-cfemail")
+    return _mails(_found(masked, "cloudflare", 3, lambda x: contacts.unmask_cfemail(x["value"]), pos=lambda x: x["pos"]))
+
+
+def _attribute_mails() -> Column:
+    attrs = F.filter("attributes", lambda x: x["name"].startswith("data-") & (x["name"] != "data-cfemail") | (x["name"] == "onclick"))
+    value = lambda x: F.lower(F.trim(F.when(x["name"] == "onclick", F.regexp_extract(x["value"], rules.EMAIL_LOOSE, 0)).otherwise(x["value"])))
+    return _mails(_found(attrs, "html_attribute", 4, value, pos=lambda x: x["pos"]))
+
+
+def _jsonld_mails() -> Column:
+    return _found(F.col("ld_mails"), "json_ld", 5, lambda v: v)
+
+
+def _meta_mails() -> Column:
+    metas = F.filter("metas", lambda x: F.lower(x["name"]).rlike("email|contact"))
+    return _found(F.flatten(F.transform(metas, lambda x: F.regexp_extract_all(x["content"], F.lit(rules.EMAIL_LOOSE), F.lit(0)))), "structured_data", 6, lambda v: F.lower(v))
+
+
+def _script_mails() -> Column:
+    scripts = F.filter("scripts", lambda x: ~x["kind"].contains("json"))
+    return _found(F.flatten(F.transform(scripts, lambda x: F.regexp_extract_all(x["body"], F.lit(rules.EMAIL_LOOSE), F.lit(0)))), "javascript", 7, lambda v: F.lower(v))
 
 
 def mailto(parsed: DataFrame) -> DataFrame:
     """Mailboxes of mailto: links, before the query, decoded."""
-    links = F.filter("links", lambda x: F.lower(x["href"]).startswith("mailto:"))
-    value = F.lower(F.trim(F.coalesce(F.try_url_decode(F.replace(F.substring_index(F.expr("substring(x.href, 8)"), "?", 1), F.lit("+"), F.lit("%2B"))), F.lit(""))))
-    return _rows(parsed, links, "mailto", 1, value, F.col("x.near")).where("value like '%@%'")
+    return _rows(parsed, _mailto())
 
 
 def visible_mails(parsed: DataFrame) -> DataFrame:
-    return _rows(parsed, _numbered(contacts.emails_in(F.col("visible"))), "regex", 2, F.col("x.v"))
+    return _rows(parsed, _visible_mails())
 
 
 def hidden_mails(parsed: DataFrame) -> DataFrame:
-    return _rows(parsed, _numbered(contacts.hidden_emails_in(F.col("raw"))), "obfuscated", 3, F.col("x.v"))
+    return _rows(parsed, _hidden_mails())
 
 
 def masked_mails(parsed: DataFrame) -> DataFrame:
-    masked = F.filter("attributes", lambda x: x["name"] == "data-cfemail")
-    return _rows(parsed, masked, "cloudflare", 3, contacts.unmask_cfemail(F.col("x.value"))).where("value like '%@%'")
+    return _rows(parsed, _masked_mails())
 
 
 def attribute_mails(parsed: DataFrame) -> DataFrame:
-    attrs = F.filter("attributes", lambda x: x["name"].startswith("data-") & (x["name"] != "data-cfemail") | (x["name"] == "onclick"))
-    value = F.when(F.col("x.name") == "onclick", F.regexp_extract(F.col("x.value"), rules.EMAIL_LOOSE, 0)).otherwise(F.col("x.value"))
-    return _rows(parsed, attrs, "html_attribute", 4, F.lower(F.trim(value))).where("value like '%@%'")
+    return _rows(parsed, _attribute_mails())
 
 
 def jsonld_mails(parsed: DataFrame) -> DataFrame:
-    return _json_rows(parsed, json_mails, "json_ld", 5)
+    return _rows(parsed, _jsonld_mails())
 
 
 def meta_mails(parsed: DataFrame) -> DataFrame:
-    metas = F.filter("metas", lambda x: F.lower(x["name"]).rlike("email|contact"))
-    found = F.flatten(F.transform(metas, lambda x: F.regexp_extract_all(x["content"], F.lit(rules.EMAIL_LOOSE), F.lit(0))))
-    return _rows(parsed, _numbered(found), "structured_data", 6, F.lower(F.col("x.v")))
+    return _rows(parsed, _meta_mails())
 
 
 def script_mails(parsed: DataFrame) -> DataFrame:
-    scripts = F.filter("scripts", lambda x: ~x["kind"].contains("json"))
-    found = F.flatten(F.transform(scripts, lambda x: F.regexp_extract_all(x["body"], F.lit(rules.EMAIL_LOOSE), F.lit(0))))
-    return _rows(parsed, _numbered(found), "javascript", 7, F.lower(F.col("x.v")))
+    return _rows(parsed, _script_mails())
 
 
 def all_mails(parsed: DataFrame) -> DataFrame:
-    """The mailboxes of a page by all methods; false ones are left out."""
-    parts = [f(parsed) for f in (mailto, visible_mails, hidden_mails, masked_mails, attribute_mails, jsonld_mails, meta_mails, script_mails)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The mailboxes of a page by all methods."""
+    return _rows(parsed, _mailto(), _visible_mails(), _hidden_mails(), _masked_mails(), _attribute_mails(), _jsonld_mails(), _meta_mails(), _script_mails())
 
 
-def tel(parsed: DataFrame) -> DataFrame:
+def _tel() -> Column:
     links = F.filter("links", lambda x: x["href"].startswith("tel:"))
-    rows = _rows(parsed, links, "tel", 1, F.trim(F.expr("substring(x.href, 5)")), F.col("x.near"))
-    return rows.where(contacts.phone_valid(F.col("value")))
+    rows = _found(links, "tel", 1, lambda x: F.trim(F.regexp_replace(x["href"], "^tel:", "")), lambda x: x["near"], lambda x: x["pos"])
+    return F.filter(rows, lambda r: contacts.phone_valid(r["value"]))
+
+
+def _class_phones() -> Column:
+    marked = F.filter("classed", lambda x: urls.has_any(x["class"], rules.PHONE_CLASSES))
+    pairs = F.flatten(F.transform(marked, lambda x: F.transform(contacts.phones_in(x["text"]), lambda v: F.struct(x["pos"].alias("pos"), v.alias("v"), x["text"].alias("t")))))
+    return _found(pairs, "css", 2, lambda x: x["v"], lambda x: x["t"], lambda x: x["pos"])
+
+
+def _text_phones() -> Column:
+    return _found(contacts.phones_in(F.col("visible")), "regex", 3, lambda v: v)
+
+
+def tel(parsed: DataFrame) -> DataFrame:
+    return _rows(parsed, _tel())
 
 
 def class_phones(parsed: DataFrame) -> DataFrame:
     """Numbers of elements whose class, id or property names a phone."""
-    marked = F.filter("classed", lambda x: urls.has_any(x["class"], rules.PHONE_CLASSES))
-    found = parsed.select("page_id", "url", F.explode(marked).alias("m")).select("page_id", "url", "m.pos", "m.text", F.explode(contacts.phones_in(F.col("m.text"))).alias("value"))
-    return found.select("page_id", "url", F.lit("css").alias("method"), F.lit(2).alias("method_ord"), F.col("pos").cast("int").alias("pos"), "value", F.col("text").alias("near"))
+    return _rows(parsed, _class_phones())
 
 
 def text_phones(parsed: DataFrame) -> DataFrame:
-    return _rows(parsed, _numbered(contacts.phones_in(F.col("visible"))), "regex", 3, F.col("x.v"))
+    return _rows(parsed, _text_phones())
 
 
 def all_phones(parsed: DataFrame) -> DataFrame:
-    return tel(parsed).unionByName(class_phones(parsed)).unionByName(text_phones(parsed))
+    return _rows(parsed, _tel(), _class_phones(), _text_phones())
+
+
+def second_pass(parsed: DataFrame) -> DataFrame:
+    """What a looser second pass adds: mailboxes and numbers of all text, scripts included, each value that the first pass has not found on the page."""
+    loose = F.array_distinct(F.transform(F.regexp_extract_all("everything", F.lit(rules.EMAIL), F.lit(0)), lambda x: F.lower(x)))
+    mails = F.filter(_found(loose, "webextractor", 8, lambda v: v), lambda r: ~contacts.false_mail(r["value"]))
+    had = F.transform(F.concat(_mailto(), _visible_mails(), _hidden_mails(), _masked_mails(), _attribute_mails(), _jsonld_mails(), _meta_mails(), _script_mails()), lambda r: r["value"])
+    phones = _found(F.array_distinct(contacts.phones_in(F.col("everything"))), "webextractor", 8, lambda v: v)
+    called = F.transform(F.concat(_tel(), _class_phones(), _text_phones()), lambda r: contacts.phone_key(r["value"]))
+    return _rows(parsed, F.filter(mails, lambda r: ~F.array_contains(had, r["value"])), F.filter(phones, lambda r: ~F.array_contains(called, contacts.phone_key(r["value"]))))
 
 
 def socials(parsed: DataFrame) -> DataFrame:
     """Profile links: of JSON-LD, of meta tags, of links marked social, of other links; the path must name a profile."""
     metas = F.filter("metas", lambda x: F.lower(x["name"]).isin("og:url", "twitter:url", "article:author", "article:publisher"))
-    meta = _rows(parsed, F.transform(metas, lambda x, i: F.struct(i.cast("int").alias("pos"), x["content"].alias("v"))), "meta", 2, F.col("x.v"))
-    marked = _rows(parsed, F.filter("links", lambda x: F.lower(x["class"]).contains("social")), "css", 3, F.col("x.href"))
-    anchors = _rows(parsed, F.col("links"), "anchor", 4, F.col("x.href"))
-    rows = _json_rows(parsed, json_profiles, "json_ld", 1).unionByName(meta).unionByName(marked).unionByName(anchors)
+    marked = F.filter("links", lambda x: F.lower(x["class"]).contains("social"))
+    at = lambda x: x["pos"]
+    rows = _rows(parsed, _found(F.col("ld_profiles"), "json_ld", 1, lambda v: v), _found(metas, "meta", 2, lambda x: x["content"]), _found(marked, "css", 3, lambda x: x["href"], pos=at), _found(F.col("links"), "anchor", 4, lambda x: x["href"], pos=at))
     first = F.lower(F.regexp_extract(urls.path(F.col("value")), "^/*([^/]*)", 1))
-    return rows.where((contacts.platform(F.col("value")) != "") & ~first.isin("", "feed", "search", "help", "about")).withColumn("platform", contacts.platform(F.col("value")))
+    return rows.withColumn("platform", contacts.platform(F.col("value"))).where((F.col("platform") != "") & ~first.isin("", "feed", "search", "help", "about"))
 
 
 def internal_links(parsed: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import choose, html
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 PAGE = """concat('<html><head><title>', case c_custkey % 4 when 0 then 'Meet the team' when 1 then 'Home' when 2 then 'Our story' else 'Call us' end, '</title><meta name="contact-email" content="meta', c_custkey, '@site.example"><meta property="article:publisher" content="https://www.facebook.com/pub', c_custkey, '">',
@@ -20,7 +20,7 @@ PAGE = """concat('<html><head><title>', case c_custkey % 4 when 0 then 'Meet the
 
 def contact_pages(spark, d) -> DataFrame:
     u = F.expr("concat('https://www.site', c_custkey, case c_custkey % 3 when 0 then '.example/' when 1 then '.example/contact-us' else '.example/x/y' end)")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), u.alias("url"), F.expr(PAGE).alias("html"))
+    return spread(table(spark, d, "customer")).select(F.col("c_custkey").alias("page_id"), u.alias("url"), F.expr(PAGE).alias("html"))
 
 
 def parsed(spark, d) -> DataFrame:
@@ -75,6 +75,14 @@ def page_mailboxes(spark, d):
     return choose.first_wins(rows, ["page_id", "value"], ["method_ord", "pos"]).select("page_id", "value", "method")
 
 
+@query("select c_custkey page_id, 'js' || c_custkey || '@site.example' value, 'javascript' \"method\" from customer")
+def second_pass_repeats_nothing(spark, d):
+    p = parsed(spark, d)
+    again = html.second_pass(p).where("value like '%@%'")
+    # the second pass finds the script's mailbox too, but the first has it already
+    return html.script_mails(p).join(again.select("page_id", "value"), ["page_id", "value"], "left_anti").select("page_id", "value", "method")
+
+
 @query("select c_custkey page_id, '+1' || lpad(c_custkey::varchar, 10, '2') value from customer")
 def html_tel(spark, d):
     return html.tel(parsed(spark, d)).select("page_id", "value")
