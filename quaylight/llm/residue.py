@@ -100,7 +100,7 @@ def mine_templates(values: DataFrame, depth: int = 4) -> DataFrame:
     middle = F.slice("w", depth + 1, F.greatest(F.size("w") - depth - 1, F.lit(0)))
     at = keyed.select("leaf", F.posexplode_outer(middle).alias("pos", "word"))
     agreed = at.groupBy("leaf", "pos").agg(F.min("word").alias("lo"), F.max("word").alias("hi"))
-    agreed = agreed.select("leaf", "pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("<*>").alias("word"))
+    agreed = agreed.select("leaf", "pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("pos").isNotNull(), "<*>").alias("word"))
     bodies = agreed.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("m"))
     heads = keyed.groupBy("leaf").agg(F.first(F.slice("w", 1, depth)).alias("head"), F.first(F.when(F.size("w") > depth, F.element_at("w", -1))).alias("tail"))
     text = F.concat_ws(" ", F.array_compact(F.concat("head", F.transform("m", lambda x: x["word"]), F.array("tail"))))
