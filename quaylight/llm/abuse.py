@@ -223,7 +223,8 @@ def scored(documents: DataFrame, labels: DataFrame, most: int = 6_000, seed: int
     votes = votes.select("doc_id", (F.col("share") > 0.5).cast("int").alias("y"))
     share = min(1.0, most / max(1, votes.count()))
     drawn = votes.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = documents.select("doc_id", "text").where("text is not null").join(drawn, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    # at most about `most` pairs of an id and a number, so texts needn't be moved
+    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     model = fit([(r["text"], r["y"]) for r in rows], seed=seed)
     at = np.flatnonzero(np.abs(model.per) > 1e-6)
     packed = (at.astype(np.int32), model.per[at].astype(np.float32), model.bias)

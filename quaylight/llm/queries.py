@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 from . import abuse, canonical, leaks, names, residue, survivor, tokens, topn, truncation, urls
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     firms, emails = table(spark, d, "company_details"), table(spark, d, "extracted_email")
-    residual = residue.residue(firms, "company_id", ["snippet"]).select("company_id")
+    residual = cut(residue.residue(firms, "company_id", ["snippet"]).select("company_id"))
     snippets = firms.join(residual, "company_id", "left_anti").select(F.lit("snippet").alias("field_name"), F.col("company_id").alias("record_id"), F.col("source_engine").alias("source"), F.col("snippet").alias("value"))
     both = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in ("nearby_text", "html_context")]))
     contexts = emails.select(F.col("email_id").alias("record_id"), F.col("extraction_method").alias("source"), both.alias("x"))
