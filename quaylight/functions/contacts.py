@@ -201,3 +201,22 @@ def looks_like_name(text: Column) -> Column:
 
 def site_of(url: Column) -> Column:
     return host(url)
+
+
+def contexts(text: Column, pattern: str, around: int = 150, most: int = 500) -> Column:
+    """For each match in order (value, context): the match with what stands up to `around` characters before and after it."""
+    ends = F.transform(F.regexp_extract_all(text, F.lit(rf"(?s).*?(?:{pattern})"), F.lit(0)), F.length)
+    stops = F.transform(ends, lambda n, i: F.aggregate(F.slice(ends, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b))
+    found = F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0))
+
+    def slice_of(v: Column, i: Column) -> Column:
+        start = F.greatest(F.get(stops, i) - F.length(v) - around, F.lit(0))
+        return F.struct(v.alias("value"), F.substring(F.trim(F.substring(text, start + 1, F.get(stops, i) + around - start)), 1, most).alias("context"))
+
+    return F.transform(found, slice_of)
+
+
+def queue_lines(body: Column) -> Column:
+    """The places of a form's text: one a line, decoded, never split at commas; blank lines and those that begin with # are none."""
+    raw = F.when(body.rlike("^[A-Za-z_]+="), F.coalesce(F.try_url_decode(F.regexp_replace(body, "^[A-Za-z_]+=", "")), F.lit(""))).otherwise(body)
+    return F.filter(F.transform(F.split(raw, r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))

@@ -14,20 +14,21 @@ def first_wins(rows: DataFrame, keys: list[Column | str], order: list[Column | s
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def merge_mailboxes(rows: DataFrame, company: str = "company_id") -> DataFrame:
+def merge_mailboxes(rows: DataFrame, company: str = "company_id", first: tuple[str, ...] = ()) -> DataFrame:
     """One row for each mailbox of a company, from pre-scored or unscored rows in the order of `ord`.
 
     Of the rows with the highest confidence_score a mailto row wins, else the first. best_source_url and first_ord are those of the first row of all; all_source_urls
     are the distinct addresses in order. Expects email, source_url, source_page_type, extraction_method, person_name, job_title,
-    role, confidence_score and ord; null scores count as 0.
+    role, confidence_score and ord; null scores count as 0. Columns named in `first` are those of the first row too.
     """
     x = rows.withColumn("email_key", contacts.plain(F.col("email"))).where("email_key <> ''")
     win = F.struct(-F.coalesce(F.col("confidence_score"), F.lit(0)), F.when(F.col("extraction_method") == "mailto", 0).otherwise(1), F.col("ord"))
     fields = ["email", "source_url", "source_page_type", "extraction_method", "person_name", "job_title", "role", "confidence_score"]
     best = F.min_by(F.struct(*fields), win)
     ordered = F.array_sort(F.collect_set(F.when(F.col("source_url") != "", F.struct("ord", "source_url"))))
-    merged = x.groupBy(company, "email_key").agg(best.alias("b"), F.min_by("source_url", "ord").alias("best_source_url"), F.min("ord").alias("first_ord"), F.array_distinct(F.transform(ordered, lambda s: s["source_url"])).alias("all_source_urls"))
-    return merged.select(company, "email_key", "b.*", "best_source_url", "first_ord", "all_source_urls")
+    kept = [F.min_by(c, "ord").alias(c) for c in first]
+    merged = x.groupBy(company, "email_key").agg(best.alias("b"), *kept, F.min_by("source_url", "ord").alias("best_source_url"), F.min("ord").alias("first_ord"), F.array_distinct(F.transform(ordered, lambda s: s["source_url"])).alias("all_source_urls"))
+    return merged.select(company, "email_key", "b.*", *first, "best_source_url", "first_ord", "all_source_urls")
 
 
 def best_per_local_part(rows: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-from ..operators import choose, html
-from ..session import spread, table
+from ..functions import contacts, rules
+from ..operators import choose, html, pipeline
+from ..session import cut, spread, table
 from .registry import query
 
 PAGE = """concat('<html><head><title>', case c_custkey % 4 when 0 then 'Meet the team' when 1 then 'Home' when 2 then 'Our story' else 'Call us' end, '</title><meta name="contact-email" content="meta', c_custkey, '@site.example"><meta property="article:publisher" content="https://www.facebook.com/pub', c_custkey, '">',
@@ -155,3 +156,48 @@ def links_and_sites(spark, d):
     return a.union(table(spark, d, "company_details").where("website_url is not null").select("company_id", "website_url")).distinct()
 
 
+
+
+def site_pages(spark, d) -> DataFrame:
+    return contact_pages(spark, d).withColumn("company_id", F.col("page_id")).withColumn("page_ord", F.lit(1))
+
+
+def site_mx(spark, d) -> DataFrame:
+    return spark.createDataFrame([("site.example", True)], "domain string, has_mx boolean")
+
+
+SITE_CLASS = "case c_custkey % 3 when 0 then 10 when 1 then 20 else 0 end"
+
+
+@query(f"""with m(n, pts, seq) as (values ('box.', 45, 1), ('ld', 25, 7), ('member', 25, 8), ('meta', 20, 9), ('attr', 15, 5), ('click', 15, 6), ('hidden', 10, 4), ('js', 10, 10), ('text', 0, 3))
+ select c_custkey company_id, n || c_custkey || '@site.example' email_key, greatest(0, pts + {SITE_CLASS} + 5 + 15 - 30) confidence_score, case when pts = 45 then 'Ann Lee' else '' end person_name from customer, m""")
+def pipeline_contacts(spark, d):
+    return pipeline.contacts_of(site_pages(spark, d), site_mx(spark, d)).select("company_id", "email_key", "confidence_score", "person_name")
+
+
+@query(f"select c_custkey company_id, 'completed' status, 9::bigint emails_found, 'box.' || c_custkey || '@site.example' best_contact_email, 35 + {SITE_CLASS} best_contact_score from customer")
+def pipeline_results(spark, d):
+    p = site_pages(spark, d)
+    once = cut(html.parse(p))
+    out = pipeline.company_results(p, pipeline.contacts_of(p, site_mx(spark, d), once), pipeline.company_phones(p, once))
+    return out.select("company_id", "status", "emails_found", "best_contact_email", "best_contact_score")
+
+
+@query("""select p_size::varchar query, 'https://u' || p_partkey || '.example' url, place::int place from (select *, row_number() over (partition by p_size order by g, p_partkey) place from (
+ select *, p_partkey % 3 = 0 a, case when p_partkey % 3 = 0 then 0 else 1 end g, count(*) filter (p_partkey % 3 = 0) over (partition by p_size) n from part) where a or n < 14) where place <= 25""")
+def engines_merged(spark, d):
+    hits = table(spark, d, "part").select(F.col("p_size").cast("string").alias("query"), F.when(F.col("p_partkey") % 3 == 0, "a").otherwise("b").alias("engine"), F.col("p_partkey").alias("hit_rank"), F.concat(F.lit("https://u"), "p_partkey", F.lit(".example")).alias("url"))
+    return pipeline.merged_engines(hits, "a", "b", enough=14)
+
+
+@query("select p_partkey, 'm' || p_partkey || '@a.example' value, 'up to ten: m' || p_partkey || '@a.example and after' context from part")
+def mail_contexts(spark, d):
+    t = F.concat(F.lit("far away and long before, this is up to ten: m"), F.col("p_partkey").cast("string"), F.lit("@a.example and after that nothing"))
+    near = table(spark, d, "part").select("p_partkey", F.inline(contacts.contexts(t, rules.EMAIL, 11)))
+    return near.select("p_partkey", "value", F.regexp_replace("context", "(and after).*$", "$1").alias("context"))
+
+
+@query("select n_nationkey, unnest(['Town, ' || n_name, 'B']) place from nation")
+def queue_input(spark, d):
+    body = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("locations=Town%2C+"), F.replace("n_name", F.lit(" "), F.lit("+")), F.lit("%0A%0A%23no%0AB"))).otherwise(F.concat(F.lit("Town, "), "n_name", F.lit("\n# no\n\n B ")))
+    return table(spark, d, "nation").select("n_nationkey", F.explode(contacts.queue_lines(body)).alias("place"))
