@@ -23,7 +23,7 @@ def address_parts(url: Column) -> Column:
     x = F.regexp_replace(x, r"^([^/?#]*):(?:80|443)(?=[/?#]|$)", "$1")
     head = F.regexp_replace(F.substring_index(x, "?", 1), f"[{PUNCT}]+$", "")
     query = F.when(x.contains("?"), F.substring(x, F.locate("?", x) + 1, F.length(x))).otherwise("")
-    host = F.regexp_extract(head, "^[^/]*", 0)
+    host = F.regexp_replace(F.regexp_extract(head, "^[^/]*", 0), f"[{PUNCT}]+$", "")
     path = F.regexp_replace(F.regexp_extract(head, "^[^/]*(.*)$", 1), "/+", "/")
     fields = F.filter(F.split(query, "&"), lambda q: q != "")
     return F.array_sort(F.concat(F.array(F.concat(F.lit("h:"), host), F.concat(F.lit("p:"), path)), F.transform(fields, lambda q: F.concat(F.lit("q:"), q))))

@@ -30,7 +30,7 @@ def test_topn_empty_and_few(spark):
 
 
 # ---- 5: addresses
-SAME = ["https://www.a-b.example/X?b=2&a=1", " HTTP://a-b.example:80//x/?a=1&b=2 ", "a-b.example/x?b=2&a=1.", "//www.A-B.example/x?a=1&b=2#", "https://www.a-b.example:443/x/?a=1&&b=2"]
+SAME = ["https://www.a-b.example/X?b=2&a=1", " HTTP://a-b.example:80//x/?a=1&b=2 ", "a-b.example/x?b=2&a=1.", "//www.A-B.example./x?a=1&b=2#", "https://www.a-b.example:443/x/?a=1&&b=2"]
 OTHER = ["https://ab.example/x?a=1&b=2", "https://m.a-b.example/x?a=1&b=2", "https://a-b.example/y?a=1&b=2", "https://a-b.example/x?a=1&b=3", "https://a-b.example:8080/x?a=1&b=2", "https://a-b.example/x"]
 
 
