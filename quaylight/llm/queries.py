@@ -111,9 +111,41 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_judged(spark, d))
 
 
+_BLANK = r"[\s\x{0085}\x{00a0}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]+"
+_PUNCT = urls.PUNCT.replace("'", "''")
+
+
+def _p5_classes() -> str:
+    """Each company_id with its address in one spelling."""
+    one = "regexp_replace({}, '{}', '{}'{})".format
+    x = one("lower(website_url)", _BLANK, "", ", 'g'")
+    x = one(x, f"^[{_PUNCT}]+|[{_PUNCT}=]+$", "", ", 'g'")
+    for p in (r"^(?:[a-z][a-z0-9+.\-]*:/+|(?:https?|ftp):)", f"^[{_PUNCT}]+", r"^(?:www\.+)+"):
+        x = one(x, p, "", "")
+    for c in "/.,;:!?&#":
+        x = one(x, f"[{c}]+", c, ", 'g'")
+    x = one(x, r"^([^/?#]*):(?:80|443)([/?#]|$)", r"\1\2", "")
+    head = one("split_part(x, '?', 1)", f"[{_PUNCT}]+$", "", "")
+    host = one("regexp_extract(head, '^[^/]*')", f"[{_PUNCT}]+$", "", "")
+    path = one("regexp_extract(head, '^[^/]*(.*)$', 1)", "/+", "/", ", 'g'")
+    fields = "list_sort(list_filter(string_split(case when contains(x, '?') then substr(x, strpos(x, '?') + 1) else '' end, '&'), lambda q: q <> ''))"
+    return f"""with a as (select company_id, {x} x from company_details where regexp_replace(website_url, '{_BLANK}|[{_PUNCT}]', '', 'g') <> ''),
+ b as (select company_id, x, {head} head from a), k as (select company_id, {host} || chr(1) || {path} || chr(1) || array_to_string({fields}, '&') k from b)"""
+
+
+P5_SQL = _p5_classes() + " select a.company_id company_id_a, b.company_id company_id_b from k a join k b on a.k = b.k and a.company_id < b.company_id"
+P5_COPIES = _p5_classes() + " select min(company_id) company_id, count(*) copies from k group by k"
+
+_MAIL = f"regexp_replace(lower(regexp_replace(email, '{_BLANK}', ' ', 'g')), '\\s*[\\[({{<]\\s*at\\s*[\\])}}>]\\s*', '@', 'g')"
+_MAIL = f"regexp_replace(replace(regexp_replace({_MAIL}, '\\s*[\\[({{<]\\s*dot\\s*[\\])}}>]\\s*', '.', 'g'), '%40', '@'), '\\s*@\\s*', '@', 'g')"
+P6_SQL = f"""with m as (select distinct email_id, regexp_extract(replace({_MAIL}, 'mailto:', ' '), '[a-z0-9][a-z0-9._%+''\\-]*@[a-z0-9](?:[a-z0-9.\\-]*[a-z0-9])?') email, confidence_score s, extracted_at w, best_source_url u from extracted_email where email is not null),
+ r as (select *, row_number() over (partition by email order by s desc nulls last, w desc nulls last, email_id) n from m where email <> '')
+ select email, max(email_id) filter (n = 1) score_email_id, coalesce(arg_min(email_id, n) filter (trim(u) <> ''), 0) url_email_id from r group by email having count(*) > 1"""
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL}
+    return {"p2_found": P2_SQL, "p5_found": P5_SQL, "p5_copies": P5_COPIES, "p6_found": P6_SQL}
