@@ -23,15 +23,26 @@ _spaced = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*·•~+/\\ ]){2,}[^\W_](?![^\W_
 _disguised = re.compile(r"(?<![\w$@])(?=[\w@$!|€£]*[^\W\d_])(?=[\w@$!|€£]*[0-9@$!|€£])[^\W_@$]?[\w@$€£!|]*[^\W_]|(?<!\w)[@$][^\W_]{2,}")
 _word = re.compile(r"[^\W\d_]+(?:[*#]+[^\W\d_]*)*|\d+")
 _name = re.compile(r"\b[A-Z][a-z]*(?:[bcdfghjklmnpqrstvwxz][aeiouy]){2,}\w*")
-_split = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|[\r\n\u0085  ]+|\s{2,}|\s+[|•·»]\s+")
+_split = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|[\r\n\u0085  ]+|\s+[|•·»]\s+")
+_closed = re.compile(r"[.!?…][\"'”’»)\]]*$")
 
 
 def passages(text: str, longest: int = 40) -> list[str]:
-    """The sentences and lines of a whole text; those of more than `longest` words as windows that overlap by half."""
-    out = []
+    """The sentences and lines of a whole text; those of more than `longest` words as windows that overlap by half. A piece that layout
+    tore off (no end of sentence, and under five words or followed by a small letter) is put together with the next."""
+    whole: list[str] = []
     for s in _split.split(text):
         if not s or not s.strip():
             continue
+        s = s.strip()
+        if whole and not _closed.search(whole[-1]) and (s[:1].islower() or len(whole[-1].split()) < 5):
+            whole[-1] += " " + s
+        else:
+            whole.append(s)
+    if len(whole) > 1 and len(whole[-1].split()) < 3 and not _closed.search(whole[-1]):
+        whole[-2:] = [f"{whole[-2]} {whole[-1]}"]
+    out = []
+    for s in whole:
         words = s.split()
         if len(words) <= longest:
             out.append(s)
