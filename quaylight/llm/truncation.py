@@ -2,7 +2,9 @@ r"""Problem 1: texts cut off by field limits."""
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -12,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, shared_dir
 
 BITS = 18
 _name = re.compile(r"\b[A-Z][a-z]*(?:[bcdfghjklmnpqrstvwxz][aeiouy]){2,}\w*")
@@ -61,20 +63,72 @@ def _masked(text: str) -> list[str]:
     return _token.findall(re.sub(r"\d", "0", _name.sub("Zz", text)))
 
 
+def _begun(text: str) -> set[tuple[str, ...]]:
+    """The first one, two and three words of the sentences of a text that are seen to begin after another and to end."""
+    if kind_of(text) != "text":
+        return set()
+    parts = re.findall(r"(?<=[.!?])(?<!\b[A-Z]\.)(?<!\b[A-Z][a-z]\.)(?<!\b[A-Z][a-z]{2}\.)(?<!\b[A-Z][a-z]{3}\.)\s+([^.!?|•·\n]{12,}[.!?])(?=\s|$)", text)
+    return {tuple(w[:k]) for part in parts for w in [_masked(part.strip())[:3]] for k in (1, 2, 3) if len(w) == 3}
+
+
+def _with_beginnings(kept: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """Openers and how their first words begin, for a sentence of which no more is left."""
+    return kept | {("~", x[0][:k]) for x in kept if len(x) == 1 for k in range(1, len(x[0]))}
+
+
 def openers_of(texts: list[str], least: int = 2) -> frozenset[tuple[str, ...]]:
     """The first one, two and three words of sentences that are seen to begin after another and to end, each in at least `least` texts."""
+    n = Counter(x for t in texts for x in _begun(t))
+    return frozenset(_with_beginnings({x for x, c in n.items() if c >= least}))
+
+
+def _opener_hash(x: tuple[str, ...]) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(x).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class Openers:
+    """openers_of() of a whole table, as sorted hashes of eight bytes that can be memory-mapped."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.memory = hashes, {}
+
+    def __contains__(self, x: tuple[str, ...]) -> bool:
+        if x not in self.memory:
+            if len(self.memory) > 200_000:
+                self.memory.clear()
+            h = np.int64(_opener_hash(x))
+            i = int(np.searchsorted(self.hashes, h))
+            self.memory[x] = i < len(self.hashes) and self.hashes[i] == h
+        return self.memory[x]
+
+
+def _count_openers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     n: Counter = Counter()
-    for t in texts:
-        if kind_of(t) != "text":
-            continue
-        for x in {tuple(w[:k]) for part in re.findall(r"(?<=[.!?])(?<!\b[A-Z]\.)(?<!\b[A-Z][a-z]\.)(?<!\b[A-Z][a-z]{2}\.)(?<!\b[A-Z][a-z]{3}\.)\s+([^.!?|•·\n]{12,}[.!?])(?=\s|$)", t) for w in [_masked(part.strip())[:3]] for k in (1, 2, 3) if len(w) == 3}:
-            n[x] += 1
-    kept = {x for x, c in n.items() if c >= least}
-    # and how their first words begin, for a sentence of which no more is left
-    return frozenset(kept | {("~", x[0][:k]) for x in kept if len(x) == 1 for k in range(1, len(x[0]))})
+    flush = lambda: pd.DataFrame({"opener": list(n.keys()), "n": list(n.values())})
+    for b in batches:
+        for t in b["value"]:
+            n.update("\0".join(x) for x in _begun(t))
+        if len(n) > 200_000:
+            yield flush()
+            n.clear()
+    if n:
+        yield flush()
+
+
+def _hash_openers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"h": [_opener_hash(x) for x in _with_beginnings({tuple(o.split("\0")) for o in b["opener"]})]}, dtype="int64")
+
+
+def opener_hashes(texts: DataFrame, least: int = 2) -> np.ndarray:
+    """The sorted hashes of openers_of() over all of the column `value`, counted where the rows are. The driver gets eight bytes an opener."""
+    # two ends with enough between them are needed; what begins with a tag is no text
+    some = texts.select("value").where(~F.col("value").startswith("<") & F.col("value").rlike("[.!?][^.!?|•·]{13,}[.!?]"))
+    kept = some.mapInPandas(_count_openers, "opener string, n bigint").groupBy("opener").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(kept.mapInPandas(_hash_openers, "h bigint").distinct().toArrow().column("h").to_numpy().astype(np.int64))
 
 
-def _opening(words: list[str], openers: frozenset, earlier: bool) -> tuple[int, int]:
+def _opening(words: list[str], openers: frozenset | Openers, earlier: bool) -> tuple[int, int]:
     """Where in the words a sentence known to end elsewhere begins last, and how many of its first words are there; fewer than
     three tell only right after the end of an earlier sentence."""
     if earlier and len(words) == 1 and ("~", words[0]) in openers:
@@ -98,7 +152,7 @@ def _last(t: str) -> tuple[str, bool]:
     return tail[starts[-1] :], re.search(r"[.!?][\"'”’»)\]]*\s+$", tail[: starts[-1]]) is not None
 
 
-def describe(text: str, limit: int = 0, openers: frozenset = frozenset()) -> list[str]:
+def describe(text: str, limit: int = 0, openers: frozenset | Openers = frozenset()) -> list[str]:
     """The features of one value by name: its closing characters, punctuation, open structure and last words, and how its
     length lies to the limit of its source."""
     kind = kind_of(text)
@@ -211,7 +265,7 @@ def cut_copy(text: str, rng: np.random.Generator, limits: list[int]) -> str | No
     return piece if len(s) >= 5 else None
 
 
-def train(values: list[tuple[str, str]], limits: dict[str, list[int]], openers: frozenset = frozenset(), seed: int = 7) -> tuple[np.ndarray, float]:
+def train(values: list[tuple[str, str]], limits: dict[str, list[int]], openers: frozenset | Openers = frozenset(), seed: int = 7) -> tuple[np.ndarray, float]:
     """Fit on (source, value): values presumed intact, and cut copies of them.
 
     Not presumed intact: values that end in a sign of omission, have open structure, lie at a limit without an end of sentence,
@@ -281,7 +335,8 @@ def truncated(values: DataFrame, sample: int = 20_000, seed: int = 7) -> DataFra
     several times are scored as often. An empty table, or one without an intact value, gives scores under 0.5.
 
     The model is fitted on at most about `sample` values, a documented bound; they are taken by a hash of the value, evenly from all
-    fields. Limits are counted over all values, and every value is scored whole.
+    fields. Limits and openers are counted over all values, and every value is scored whole. The openers are written to the shared
+    folder and memory-mapped by every worker; where that folder is no file system path, they are sent instead.
     """
     have = values.where("value is not null and trim(value) <> ''").select("field_name", "record_id", F.concat_ws("/", "field_name", F.coalesce("source", F.lit("-"))).alias("at"), "source", "value")
     lengths = cut(have.groupBy("field_name", F.col("at").alias("source"), F.length("value").alias("len")).agg(F.count(F.lit(1)).alias("n")))
@@ -291,7 +346,14 @@ def truncated(values: DataFrame, sample: int = 20_000, seed: int = 7) -> DataFra
     share = F.coalesce(*[F.when(F.col("field_name") == f, F.lit(min(1.0, per / n))) for f, n in total.items()]) if total else F.lit(0.0)
     drawn = have.where(F.pmod(F.xxhash64("value"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
     rows = [(r[0], r[1]) for r in drawn.select("at", "value").orderBy(F.xxhash64("value", "at")).collect()]
-    openers = openers_of([v for _, v in rows])
+    hashes = opener_hashes(have)
+    openers = Openers(hashes)
+    shared = shared_dir(values.sparkSession)
+    local = shared[5:] if shared.startswith("file:") else shared if "://" not in shared else None
+    file = local and f"{'/' + local.lstrip('/')}/openers-{uuid.uuid4().hex}.npy"
+    if file:
+        np.save(file, hashes)
+    sent = values.sparkSession.sparkContext.broadcast(None if file else hashes)
     w, bias = train(rows, limits, openers, seed)
     at = np.flatnonzero(w)
     packed = (at.astype(np.int32), w[at].astype(np.float32))
@@ -299,6 +361,7 @@ def truncated(values: DataFrame, sample: int = 20_000, seed: int = 7) -> DataFra
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         full = np.zeros(1 << BITS, np.float32)
         full[packed[0]] = packed[1]
+        openers = Openers(np.load(file, mmap_mode="r") if file else sent.value)
         for b in batches:
             rows = [hashed(describe(v, _limit(len(v), limits.get(s, [])), openers)) for s, v in zip(b["at"], b["value"])]
             p = 1 / (1 + np.exp(-np.clip(_margins(rows, full, bias), -30, 30)))

@@ -168,6 +168,22 @@ def test_truncation_held_out(spark):
     assert truncation.rates(truncation.truncated(df)).count() == 3
 
 
+def test_openers_are_those_of_all_values(spark, monkeypatch):
+    texts = [f"We sell homes. {w} {x} porch has {i} steps and a rail. Ask us" for i, (w, x) in enumerate(itertools.product([f"W{a}ord{b}" for a in "abcdef" for b in "ghijkl"], ("red", "old")))]
+    texts += ["<p>Hi there. Zulu homes are sold by us today. Ask.</p>", '{"a": "Hi there. Yoke homes are sold by us today. Ask", "b": 1}', "  <b> Hi there. Xray homes are sold by us. </b>", "One end only.", ""] * 2
+    df = spark.createDataFrame([("nearby_text", i, None, t) for i, t in enumerate(texts)], "field_name string, record_id bigint, source string, value string")
+    want = truncation.openers_of(texts)
+    assert len(want) > 50
+    held = truncation.Openers(truncation.opener_hashes(df))
+    assert len(held.hashes) == len(want) and all(x in held for x in want) and ("Zulu",) not in held and ("~", "Q") not in held
+    # the draw for the fit has no say in them
+    used = []
+    monkeypatch.setattr(truncation, "train", lambda rows, limits, openers, seed: used.append((len(rows), openers)) or (truncation.np.zeros(1 << truncation.BITS), -1.0))
+    truncation.truncated(df, sample=20).count()
+    assert used[0][0] < 60 and all(x in used[0][1] for x in want)
+    assert len(truncation.opener_hashes(df.limit(0))) == 0
+
+
 # ---- 8: tokens
 def test_tokens_against_library(spark):
     tk = pytest.importorskip("tokenizers")
