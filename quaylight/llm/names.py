@@ -131,6 +131,27 @@ def _corrected(parsed: DataFrame, share: float = 0.002, least: int = 20) -> Data
     return parsed.mapInPandas(run, parsed.schema)
 
 
+def _leaders(links: DataFrame) -> DataFrame:
+    """(node, up): the leading spelling of each node that has one, from verified links (node, n, node2, n2, d), each given once.
+
+    A node follows, of its neighbours that come before it, the nearest and of these the first: by the power of three of its records,
+    then by the number of its neighbours at one edit, records and key. Paths are followed to their end, twice as far each round.
+    """
+    both = links.unionByName(links.select(F.col("node2").alias("node"), F.col("n2").alias("n"), F.col("node").alias("node2"), F.col("n").alias("n2"), "d"))
+    beside = both.groupBy("node").agg(F.count_if(F.col("d") == 1).alias("beside"))
+    known = both.join(beside, "node").join(beside.select(F.col("node").alias("node2"), F.col("beside").alias("beside2")), "node2")
+    place = lambda n, beside, node: F.struct(F.floor(F.log(F.col(n)) / F.log(F.lit(3.0)) + 1e-9).alias("power"), F.col(beside).alias("beside"), F.col(n).alias("n"), F.col(node).alias("node"))
+    ahead = known.withColumn("place", place("n2", "beside2", "node2")).where(F.col("place") > place("n", "beside", "node"))
+    top = cut(ahead.groupBy("node").agg(F.max_by("node2", F.struct(-F.col("d"), "place")).alias("up")))
+    while True:
+        # the order is total, so there are no rings, and a node without a row is an end
+        far = top.select(F.col("node").alias("up"), F.col("up").alias("far"))
+        moved = cut(top.join(far, "up", "left").select("node", F.coalesce("far", "up").alias("up"), F.col("far").isNotNull().alias("on")))
+        top = moved.select("node", "up")
+        if moved.where("on").isEmpty():
+            return top
+
+
 def linked_names(records: DataFrame, key: Callable[[str], tuple[str, list[str]]]) -> DataFrame:
     """(id, norm, entity): the entity that each record's name means, within its scope.
 
@@ -146,8 +167,9 @@ def linked_names(records: DataFrame, key: Callable[[str], tuple[str, list[str]]]
     3. They are verified word by word: one edit, a swap, or two edits in a long word that is rare in all of the records (rare words
        count more); or a short form that begins the word, if it begins that of one entity only. Typos in common words, such as given
        names, are put right beforehand, so that one in each word is no obstacle.
-    4. Each node follows its best-supported neighbour of more support (ties by key), so that chains end at a leading spelling
-       and two entities are not joined through a typo between them.
+    4. Each node follows its best-supported neighbour of more support to the end of the path, so that two well-supported spellings are not
+       joined through a typo between them. Among spellings about as frequent (within a power of three) the one with the most neighbours
+       at one edit leads, as the right spelling lies beside all its typos.
     """
     named = records.where("scope is not null and id is not null and name is not null")
     typed = named.select("scope", F.col("id").cast("bigint").alias("id"), "name").distinct()
@@ -161,30 +183,25 @@ def linked_names(records: DataFrame, key: Callable[[str], tuple[str, list[str]]]
 
     each = nodes.select("node", "scope", "trade", "n", "short", "words", F.posexplode("words").alias("i", "w"))
     others = F.filter("words", lambda w, j: j != F.col("i"))
-    each = each.select("node", "n", "w", F.col("w").endswith(".").alias("dot"), F.exists(others, lambda w: w.endswith(".")).alias("rest_dot"), F.xxhash64("scope", "trade", others).alias("rest"))
-    df = each.where("not dot").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    each = each.select("node", "scope", "n", "w", F.col("w").endswith(".").alias("dot"), F.exists(others, lambda w: w.endswith(".")).alias("rest_dot"), F.xxhash64("scope", "trade", others).alias("rest"))
+    df = each.where("not dot").groupBy("scope", "w").agg(F.count(F.lit(1)).alias("df"))
 
     full = each.where("not dot and not rest_dot")
     long, mid = F.length("w") >= 7, F.length("w") <= 7
     ends = F.explode(F.array_compact(F.array(*[F.when(c, F.concat(F.lit("^"), F.substring("w", 1, k))) for c, k in ((long, 3), (mid, 2))], *[F.when(c, F.concat(F.substring("w", -k, k), F.lit("$"))) for c, k in ((long, 3), (mid, 2))])))
-    left = full.join(df, "w").select("node", "n", "w", "df", "rest", ends.alias("end"))
+    left = full.join(df, ["scope", "w"]).select("node", "n", "w", "df", "rest", ends.alias("end"))
     right = left.select(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("w").alias("w2"), F.col("df").alias("df2"), "rest", "end")
-    near = left.join(right, ["rest", "end"]).where("w <> w2 and (n < n2 or (n = n2 and node > node2)) and abs(length(w) - length(w2)) <= 2 and greatest(length(w), length(w2)) > 3")
+    near = left.join(right, ["rest", "end"]).where("node < node2 and w <> w2 and abs(length(w) - length(w2)) <= 2 and greatest(length(w), length(w2)) > 3")
     near = near.withColumn("d", F.levenshtein("w", "w2", 2)).where("d > 0")
     swapped = F.array_sort(F.split("w", "")) == F.array_sort(F.split("w2", ""))
     near = near.where((F.col("d") == 1) | swapped | F.expr("least(length(w), length(w2)) >= 6 and least(df, df2) <= 1"))
-    typos = near.select("node", "n2", "node2", F.col("d").cast("int").alias("d")).distinct()
+    links = cut(near.select("node", "n", "node2", "n2", F.col("d").cast("int").alias("d")).distinct())
 
     short = each.where("dot").select("node", F.expr("substring(w, 1, length(w) - 1)").alias("begin"), "rest").withColumn("letter", F.substring("begin", 1, 1))
     whole = full.select(F.col("node").alias("node2"), F.col("n").alias("n2"), "w", "rest", F.substring("w", 1, 1).alias("letter"))
     begun = short.join(whole, ["rest", "letter"]).where(F.col("w").startswith(F.col("begin")))
     # words that are typos of each other are one beginning
-    parent = typos.groupBy("node").agg(F.max_by("node2", F.struct(-F.col("d"), "n2", "node2")).alias("up"))
-    parent = cut(parent)
-    grand = parent.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-    top = parent.join(grand, "up", "left").select("node", F.coalesce("up2", "up").alias("up"))
-    great = parent.select(F.col("node").alias("up"), F.col("up").alias("up3"))
-    top = cut(top.join(great, "up", "left").select("node", F.coalesce("up3", "up").alias("up")))
+    top = _leaders(links)
     lead = begun.join(top.select(F.col("node").alias("node2"), "up"), "node2", "left").select("node", F.coalesce("up", "node2").alias("up"))
     one = lambda x: x.groupBy("node").agg(F.min("up").alias("up"), F.max("up").alias("last"))
     exact = cut(one(lead))

@@ -133,6 +133,35 @@ def test_ambiguous_initial_is_left(spark):
     assert names.variant_pairs(names.linked_names(spark.createDataFrame(rows, "scope bigint, id bigint, name string"), names.person_key)).count() == 0
 
 
+def test_all_typos_of_a_name_are_one_entity(spark):
+    """Whichever of the equally frequent spellings have the greater keys, and where the typos are repeated and the right one is not."""
+    rows, want = [], set()
+    for k, w in enumerate(["hinasidova", "pavulorike", "temozagupi", "wakelivuno", "zorubefima", "duchamoqel"]):
+        forms = [w, *[w[:i] + "y" + w[i + 1 :] for i in (1, 3, 5, 7, 9)]]
+        ids = [100 * k + 10 * i + j for i, f in enumerate(forms) for j in range(2 if k > 3 and i else 1)]
+        rows += [(0, x, f"{forms[x % 100 // 10].title()} Kobu Realty") for x in ids]
+        want |= {(a, b) for a, b in itertools.combinations(ids, 2) if a // 10 != b // 10}
+    got = names.variant_pairs(names.linked_names(spark.createDataFrame(rows, "scope bigint, id bigint, name string"), names.firm_key)).collect()
+    assert set(map(tuple, got)) == want
+
+
+def test_well_supported_names_stay_apart(spark):
+    rows = [(0, i, "Hinasido Kobu Realty") for i in range(4)] + [(0, 10 + i, "Hinabeso Kobu Realty") for i in range(4)] + [(0, 20, "Hinaseso Kobu Realty"), (0, 21, "Hinasiso Kobu Realty")]
+    got = {tuple(r) for r in names.variant_pairs(names.linked_names(spark.createDataFrame(rows, "scope bigint, id bigint, name string"), names.firm_key)).collect()}
+    assert (0, 10) not in got and (10, 20) in got and (0, 21) in got
+
+
+def test_paths_are_followed_to_their_end(spark):
+    links = spark.createDataFrame([(i, 3**i, i + 1, 3 ** (i + 1), 1) for i in range(12)], "node bigint, n bigint, node2 bigint, n2 bigint, d int")
+    assert {r["node"]: r["up"] for r in names._leaders(links).collect()} == {i: 12 for i in range(12)}
+
+
+def test_rare_is_told_within_the_scope(spark):
+    rows = [(k, 10 * k + i, n) for k in range(3) for i, n in enumerate(["Wodu Hinasidova", "Wodu Hinysydova"])]
+    got = names.variant_pairs(names.linked_names(spark.createDataFrame(rows, "scope bigint, id bigint, name string"), names.person_key)).collect()
+    assert set(map(tuple, got)) == {(0, 1), (10, 11), (20, 21)}
+
+
 @pytest.mark.parametrize("a, b, same", [("Rihu and Lose Realty LLC", "Realty, Rihu & Lose", True), ("Rihu Lose Rlty Grp", "Rihu-Lose Realty Group, Ltd.", True), ("The Rihu Lose R.E.", "Rihu and Lose Real Estate Inc.", True), ("Rihu Lose Homes", "Rihu Lose Realty", False)])
 def test_firm_key(a, b, same):
     assert (names.firm_key(a) == names.firm_key(b)) == same
