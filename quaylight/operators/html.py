@@ -289,14 +289,39 @@ def all_phones(parsed: DataFrame) -> DataFrame:
     return _rows(parsed, _tel(), _class_phones(), _text_phones())
 
 
-def second_pass(parsed: DataFrame) -> DataFrame:
-    """What a looser second pass adds: mailboxes and numbers of all text, scripts included, each value that the first pass has not found on the page."""
+def _loose_mails() -> Column:
     loose = F.array_distinct(F.transform(F.regexp_extract_all("everything", F.lit(rules.EMAIL), F.lit(0)), lambda x: F.lower(x)))
-    mails = F.filter(_found(loose, "webextractor", 8, lambda v: v), lambda r: ~contacts.false_mail(r["value"]))
+    return F.filter(_found(loose, "webextractor", 8, lambda v: v), lambda r: ~contacts.false_mail(r["value"]))
+
+
+def _loose_phones() -> Column:
+    return _found(F.array_distinct(contacts.phones_in(F.col("everything"))), "webextractor", 8, lambda v: v)
+
+
+def _second_mails() -> Column:
     had = F.transform(F.concat(_mailto(), _visible_mails(), _hidden_mails(), _masked_mails(), _attribute_mails(), _jsonld_mails(), _meta_mails(), _script_mails()), lambda r: r["value"])
-    phones = _found(F.array_distinct(contacts.phones_in(F.col("everything"))), "webextractor", 8, lambda v: v)
+    return F.filter(_loose_mails(), lambda r: ~F.array_contains(had, r["value"]))
+
+
+def _second_phones() -> Column:
     called = F.transform(F.concat(_tel(), _class_phones(), _text_phones()), lambda r: contacts.phone_key(r["value"]))
-    return _rows(parsed, F.filter(mails, lambda r: ~F.array_contains(had, r["value"])), F.filter(phones, lambda r: ~F.array_contains(called, contacts.phone_key(r["value"]))))
+    return F.filter(_loose_phones(), lambda r: ~F.array_contains(called, contacts.phone_key(r["value"])))
+
+
+def second_pass(parsed: DataFrame) -> DataFrame:
+    """What a looser second pass adds: mailboxes and numbers of all text, scripts included, each value that the first pass has not found on the page."""
+    return _rows(parsed, _second_mails(), _second_phones())
+
+
+def mails_of_both(parsed: DataFrame) -> DataFrame:
+    """The mailboxes of a page by all methods, then those that only the second pass finds."""
+    # the first of a page is chosen later, so what the first pass has need not be looked up here
+    return _rows(parsed, _mailto(), _visible_mails(), _hidden_mails(), _masked_mails(), _attribute_mails(), _jsonld_mails(), _meta_mails(), _script_mails(), _loose_mails())
+
+
+def phones_of_both(parsed: DataFrame) -> DataFrame:
+    """The numbers of a page by all methods, then those of the second pass; the first of each is chosen later."""
+    return _rows(parsed, _tel(), _class_phones(), _text_phones(), _loose_phones())
 
 
 def socials(parsed: DataFrame) -> DataFrame:

@@ -1,32 +1,43 @@
-"""From stored pages to ranked contacts: the whole path as one plan."""
+"""From stored pages to ranked contacts as one plan; the README lists the stages of the survey's path that it leaves out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contacts, urls
 from . import choose, html
 
 
+def _new_to_company(rows: DataFrame, key: Column) -> DataFrame:
+    """Rows without those of the second pass whose value an earlier page of the company gave already."""
+    place = F.struct("page_ord", "page_id", "method_ord", "pos")
+    w = choose.Window.partitionBy("company_id", key)
+    return rows.withColumn("_first", F.min(place).over(w)).where((F.col("method") != "webextractor") | (F.col("_first") == place)).drop("_first")
+
+
 def contacts_of(pages: DataFrame, mx: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """Ranked contacts of each company.
 
     pages: (page_id, company_id, page_ord, url, html); mx: (domain, has_mx); parsed: the pages as html.parse() gives them, if they were written. Rows are taken
-    in the order of page, method and place. A mailbox that is malformed, disposable or not for replies is left out. Result: company_id, email_key,
+    in the order of page, method and place; the looser second pass comes last and adds what no earlier one gave. A mailbox that is malformed, disposable or not for replies is left out. Result: company_id, email_key,
     source_url, best_source_url, all_source_urls, extraction_method, source_page_type, person_name, confidence_score, confidence_level, score_reasons, rank.
     """
     parsed = html.parse(pages) if parsed is None else parsed
     at = pages.select("page_id", "company_id", "page_ord")
-    rows = html.all_mails(parsed).withColumn("source_page_type", urls.page_type(F.col("url")))
+    rows = html.mails_of_both(parsed)
+    # the second pass knows no type of page, and what it finds counts as found in text
+    second = F.col("method") == "webextractor"
+    rows = rows.withColumn("source_page_type", F.when(second, "other").otherwise(urls.page_type(F.col("url"))))
     # the first of a page by method and place; the rest says nothing new
     rows = choose.first_wins(rows.where("value <> ''"), ["page_id", "value"], ["method_ord", "pos"]).join(at, "page_id")
+    rows = _new_to_company(rows, F.col("value"))
     lead = F.array_join(F.slice(F.split(F.trim("near"), r"\s+"), 1, 2), " ")
     rows = rows.withColumn("person_name", F.when((F.col("method") == "mailto") & contacts.looks_like_name(lead), lead).otherwise(""))
     rows = rows.withColumn("domain", urls.email_domain(F.col("value"))).join(mx, "domain", "left")
     valid = rows.withColumn("v", contacts.validated(F.col("value"), urls.host(F.col("url")), F.col("has_mx"))).where("v.keep")
     named = valid.select(
-        "company_id", F.col("value").alias("email"), F.col("url").alias("source_url"), "source_page_type", F.col("method").alias("extraction_method"), "person_name", F.lit("").alias("job_title"), F.lit("").alias("role"),
+        "company_id", F.col("value").alias("email"), F.col("url").alias("source_url"), "source_page_type", F.when(second, "regex").otherwise(F.col("method")).alias("extraction_method"), "person_name", F.lit("").alias("job_title"), F.lit("").alias("role"),
         F.lit(0).alias("confidence_score"), F.struct("page_ord", "page_id", "method_ord", "pos").alias("ord"), "v",
     )
     merged = choose.merge_mailboxes(named, first=("v",))
@@ -45,8 +56,10 @@ def company_results(companies: DataFrame, ranked: DataFrame, phones: DataFrame)
 
 
 def company_phones(pages: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
-    """(company_id, phone, country, is_fax, is_mobile, ord): the numbers of a company, the first of each."""
-    rows = html.all_phones(html.parse(pages) if parsed is None else parsed).join(pages.select("page_id", "company_id", "page_ord"), "page_id").withColumn("phone", contacts.phone_key(F.col("value")))
+    """(company_id, phone, country, is_fax, is_mobile, ord): the numbers of a company, those of the looser second pass too, the first of each."""
+    parsed = html.parse(pages) if parsed is None else parsed
+    found = html.phones_of_both(parsed)
+    rows = found.join(pages.select("page_id", "company_id", "page_ord"), "page_id").withColumn("phone", contacts.phone_key(F.col("value")))
     first = choose.first_wins(rows.where("phone <> ''"), ["company_id", "phone"], ["page_ord", "page_id", "method_ord", "pos"])
     near = F.coalesce("near", F.lit(""))
     return first.select("company_id", "phone", contacts.phone_country(F.col("phone")).alias("country"), contacts.is_fax(near).alias("is_fax"), contacts.is_mobile(near).alias("is_mobile"), F.struct("page_ord", "page_id", "method_ord", "pos").alias("ord"))

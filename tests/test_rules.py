@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaylight.functions import contacts, urls
-from quaylight.operators import choose, html, store
+from quaylight.operators import choose, html, pipeline, store
 from quaylight.sources import readers, writers
 from quaylight.streaming import monitor
 
@@ -112,3 +112,22 @@ def test_activity_ignores_order(spark):
     rows = spark.createDataFrame([(1, t), (1, t + dt.timedelta(minutes=5)), (1, t + dt.timedelta(hours=2))], "k int, ts timestamp_ntz")
     got = monitor.activity_windows(rows, "k", "ts", "15 minutes").orderBy("started").collect()
     assert [r["n"] for r in got] == [2, 1]
+
+
+def test_second_pass_reaches_contacts(spark):
+    late = '<noscript>Write to Only.Late@a.example or ring +1 555 010 7788</noscript><script type="application/json">{"m": "state@a.example"}</script>'
+    pages = [
+        (1, 7, 1, "https://a.example/", "<p>first@a.example</p>"),
+        (2, 7, 2, "https://a.example/contact", f"<div>Ann Lee of the office <a href='mailto:first@a.example'>mail</a></div><noscript>first@a.example</noscript>{late}"),
+        (3, 7, 3, "https://a.example/about", late),
+        (4, 8, 1, "https://b.example/", "<p>none here</p>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id bigint, company_id bigint, page_ord int, url string, html string")
+    mx = spark.createDataFrame([("a.example", True)], "domain string, has_mx boolean")
+    got = {r["email_key"]: r for r in pipeline.contacts_of(df, mx).collect()}
+    assert set(got) == {"first@a.example", "only.late@a.example", "state@a.example"}
+    assert got["first@a.example"]["extraction_method"] == "mailto"
+    late = got["only.late@a.example"]
+    assert (late["extraction_method"], late["source_page_type"], late["all_source_urls"]) == ("regex", "other", ["https://a.example/contact"])
+    phones = pipeline.company_phones(df).collect()
+    assert {(r["company_id"], r["phone"][-10:], r["ord"]["page_ord"]) for r in phones} == {(7, "5550107788", 2)}
