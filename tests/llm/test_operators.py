@@ -254,17 +254,40 @@ def test_leaks(spark):
     assert leaks.leaked(d.limit(0), t).count() == leaks.leaked(d, t.limit(0)).count() == 0
 
 
-def test_wand_retrieves_all_above():
+def test_leaks_do_not_depend_on_length_or_blocks(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    sizes = [3, 20, 100, 640, 800, 1000, 2000, 5000]
+    line = "Answer the question with one of the options. "
+    items = [(i, line + " ".join(word() for _ in range(n))) for i, n in enumerate(sizes)]
+    own = [t[len(line) :].split() for _, t in items]
+    noise = lambda n: [word() for _ in range(n)]
+    docs = [(i, " ".join(noise(40) + ws + noise(40))) for i, ws in enumerate(own)]
+    # a third of an item, in parts that stand far apart
+    docs += [(20, " ".join(w for k in range(0, 1000, 100) for w in own[5][k : k + 36] + noise(400))), (21, line), (22, " ".join(noise(50) + own[6][:300] + noise(50)))]
+    d, t = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(i, i) for i in range(len(sizes))} | {(20, 5)}
+    for block in (1, 3, 5_000):
+        assert {(r[0], r[1]) for r in leaks.leaked(d, t, block=block).collect()} == want
+
+
+def test_wand_retrieves_all_above_and_all_that_is_held():
     rng = random.Random(4)
-    vocab = [f"w{i}" for i in range(80)]
-    index = leaks.Index([(i, " ".join(rng.choices(vocab, weights=range(1, 81), k=rng.randint(5, 60)))) for i in range(150)], block=8)
-    for _ in range(200):
-        q = set(rng.choices(vocab, k=20))
+    vocab = [f"w{i}" for i in range(12)]
+    items = [(i, rng.choices(vocab, weights=range(1, 13), k=rng.randint(5, 60))) for i in range(150)]
+    df = leaks.Counter(w for _, ws in items for w in set(leaks.terms_of(ws)))
+    index = leaks.Index(items, df, len(items), 30.0, block=8)
+    for _ in range(150):
+        text = rng.choices(vocab, weights=range(1, 13), k=30) + rng.choice(items)[1][: rng.randint(0, 30)]
+        q = set(leaks.terms_of(text))
         scores = {}
         for w in q & index.docs.keys():
             for i, x in zip(index.docs[w], index.weights[w]):
                 scores[i] = scores.get(i, 0) + x
-        assert index.above(q, 0.3).keys() == {i for i, s in scores.items() if s >= 0.3 + 1e-12} | {i for i in index.above(q, 0.3) if abs(scores[i] - 0.3) < 1e-9}
+        got = index.above(q)
+        assert got.keys() == {i for i, s in scores.items() if s >= 1 + 1e-9} | {i for i in got if abs(scores[i] - 1) < 1e-9}
+        held = lambda places: {i for i, s in index.held(text, places).items() if s >= 1 / 3}
+        assert held(set(range(len(items)))) <= got.keys() and held(set(got)) == held(set(range(len(items))))
 
 
 # ---- 10: abuse
