@@ -6,11 +6,14 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Short forms of words in titles, and of titles.
 SHORT = {
     "mgr": "manager", "mngr": "manager", "mgmt": "management", "asst": "assistant", "assist": "assistant", "assoc": "associate", "coord": "coordinator",
@@ -126,20 +129,24 @@ class References:
         have = grams(words)
         # grams that no entry has are the rarest of all
         order = sorted(have, key=lambda g: self.rank.get(g, -1))
-        n, seen = len(order), {}
+        n, met = len(order), {}
         for i, g in enumerate(order[: n - self._ceil(self.least * n) + 1]):
             for k, j in self.index.get(g, ()):
-                if k in seen:
-                    continue
                 m = self.ordered[k]
                 if min(n, m) < self.least * max(n, m):  # length filter
                     continue
-                need = self.least / (1 + self.least) * (n + m)
-                if 1 + min(n - i - 1, m - j - 1) < need - 1e-9 and i == 0 and j == 0:  # positional filter, sound for the first match of both
+                if (common := met.get(k, 0)) < 0:
                     continue
+                # positional filter: what was met so far, this gram, and the fewer of those that follow it on either side
+                met[k] = common + 1 if common + 1 + min(n - i - 1, m - j - 1) >= self.least / (1 + self.least) * (n + m) - 1e-9 else -1
+        out = {}
+        for k, common in met.items():
+            if common > 0:
                 common = len(have & self.forms[k][4])
-                seen[k] = common / (n + m - common)
-        return {k: s for k, s in seen.items() if s >= self.least}
+                s = common / (n + self.ordered[k] - common)
+                if s >= self.least:
+                    out[k] = s
+        return out
 
     def verify(self, words: list[str], k: int) -> float:
         """The similarity of the words to the entry of form k, word by word; 0 if the entry isn't meant."""
@@ -181,28 +188,29 @@ class References:
         # another state than the entry's, or words of another place
         return 0.0 if rest else total
 
-    def best(self, value: str) -> int:
-        """The ref_id meant by a value, 0 if none is, or if two are equally near."""
+    def best(self, value: str) -> list[tuple[float, float, int]]:
+        """The two entries nearest to a value: (similarity word by word, Jaccard, ref_id), the nearest first."""
         words = plain_words(value)
         if not words:
-            return 0
+            return []
         kept = [w for w in words if w not in ADDED and not w.isdigit()] or words
         near = self.candidates(words) | self.candidates(kept)
-        if not near:
-            return 0
         scored: dict[int, tuple[float, float]] = {}
         for k, s in near.items():
             v = self.verify(words, k)
             if v > 0:
-                scored[self.forms[k][0]] = max(scored.get(self.forms[k][0], (0.0, 0.0)), (round(v, 6), s))
-        if not scored:
-            return 0
-        top = sorted(scored.items(), key=lambda x: (-x[1][0], x[0]))
-        if len(top) > 1 and top[0][1][0] == top[1][1][0]:
-            top.sort(key=lambda x: (-x[1][0], -x[1][1], x[0]))
-            if top[0][1] == top[1][1] or self.field == "location":
-                return 0
-        return top[0][0]
+                ref = self.forms[k][0]
+                scored[ref] = max(scored.get(ref, (0.0, 0.0)), (round(v, 6), s))
+        return sorted(((v, s, ref) for ref, (v, s) in scored.items()), reverse=True)[:2]
+
+
+def meant(field: str, near: list[tuple[float, float, int]]) -> int:
+    """The ref_id that the nearest entries of a field, nearest first, tell: 0 if there is none or two are equally near; two places of one name are."""
+    if not near:
+        return 0
+    if len(near) > 1 and near[0][0] == near[1][0] and (field == "location" or near[0][1] == near[1][1]):
+        return 0
+    return near[0][2]
 
 
 def map_values(values: DataFrame, references: DataFrame, least: float = 0.4, block: int = 20_000) -> DataFrame:
@@ -214,38 +222,47 @@ def map_values(values: DataFrame, references: DataFrame, least: float = 0.4, blo
 
     Each distinct value is compared once. Candidates come from a set-similarity join on word-bordered 2-grams: grams
     ordered by rarity in the list, prefixes only, length and positional filter, exact Jaccard >= least; they are then
-    compared word by word and the best is kept. The join takes the reference list in blocks of at most `block` entries of one field, so
-    what a task holds is bounded for a list of any size, and keeps the best of all blocks.
+    compared word by word and the best is kept. The join takes the reference list in blocks of about `block` entries of one field, so
+    what a task holds is bounded for a list of any size, and merges the two best of each block, so the blocks do not change the result.
     """
     have = values.where("value is not null and trim(value) <> ''").select("field_name", F.col("record_id").cast("bigint").alias("record_id"), "value")
     # few bytes but much work: as many tasks as there are cores, which would else be put together
     distinct = have.select("field_name", "value").distinct().repartition(2 * have.sparkSession.sparkContext.defaultParallelism, "value")
-    fields = [r[0] for r in distinct.select("field_name").distinct().collect()]
     count = {r[0]: r[1] for r in references.groupBy("field_name").count().collect()}
+    blocks = max([1, *(-(-n // block) for n in count.values())])
+    distinct = cut(distinct) if blocks > 1 else distinct
     parts = []
-    for f in sorted(fields):
-        mine = references.where(F.col("field_name") == f).select("ref_id", "entry", "short_form")
-        blocks = -(-count.get(f, 0) // block)
-        for b in range(blocks):
-            rows = [tuple(r) for r in (mine if blocks == 1 else mine.where(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)) == b)).collect()]
-            parts.append(distinct.where(F.col("field_name") == f).mapInPandas(_mapper(f, rows, least), "field_name string, value string, ref_id int, entry boolean"))
-        if not blocks:
-            parts.append(distinct.where(F.col("field_name") == f).select("field_name", "value", F.lit(0).alias("ref_id"), F.lit(False).alias("entry")))
-    if not parts:
-        return have.select("field_name", "record_id", F.lit(0).alias("ref_id")).limit(0)
-    mapped = parts[0]
-    for p in parts[1:]:
-        mapped = mapped.unionByName(p)
-    if any(c > block for c in count.values()):
-        mapped = mapped.groupBy("field_name", "value").agg(F.max("ref_id").alias("ref_id"), F.bool_or("entry").alias("entry"))
+    for b in range(blocks):
+        mine = references if blocks == 1 else references.where(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)) == b)
+        rows: dict[str, list] = {}
+        for r in mine.where("entry is not null").select("field_name", "ref_id", "entry", "short_form").collect():
+            rows.setdefault(r[0], []).append(tuple(r)[1:])
+        parts.append(distinct.mapInPandas(_mapper(rows, least), "field_name string, value string, ref_id int, entry boolean, near array<struct<v:double,s:double,ref_id:int>>"))
+    mapped = reduce(DataFrame.unionByName, parts)
+    if blocks > 1:
+        # two entries of each block are enough to tell the nearest of all, and whether another is as near
+        mapped = mapped.groupBy("field_name", "value").agg(F.bool_or("entry").alias("entry"), F.slice(F.sort_array(F.flatten(F.collect_list("near")), False), 1, 2).alias("near"))
+        a, b = F.get("near", F.lit(0)), F.get("near", F.lit(1))
+        tie = F.coalesce((a["v"] == b["v"]) & ((F.col("field_name") == "location") | (a["s"] == b["s"])), F.lit(False))
+        mapped = mapped.select("field_name", "value", F.when(tie, 0).otherwise(F.coalesce(a["ref_id"], F.lit(0))).alias("ref_id"), "entry")
     typed = have.distinct()
     return typed.join(mapped, ["field_name", "value"]).where("not entry").select("field_name", "record_id", "ref_id").distinct()
 
 
-def _mapper(field: str, rows: list[tuple], least: float):
+def _mapper(rows: dict[str, list[tuple]], least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        refs = References(field, rows, least)
+        refs: dict[str, References] = {}
         for b in batches:
-            yield pd.DataFrame({"field_name": b["field_name"], "value": b["value"], "ref_id": pd.array([0 if v in refs.exact else refs.best(v) for v in b["value"]], dtype="int32"), "entry": [v in refs.exact for v in b["value"]]})
+            near = []
+            for f, v in zip(b["field_name"], b["value"]):
+                if f not in refs:
+                    refs[f] = References(f, rows.get(f, []), least)
+                near.append(refs[f].best(v))
+            yield pd.DataFrame(
+                {
+                    "field_name": b["field_name"], "value": b["value"], "ref_id": pd.array([meant(f, x) for f, x in zip(b["field_name"], near)], dtype="int32"), "entry": [v in refs[f].exact for f, v in zip(b["field_name"], b["value"])],
+                    "near": [[{"v": v, "s": s, "ref_id": r} for v, s, r in x] for x in near],
+                }
+            )
 
     return run

@@ -76,7 +76,7 @@ REFS = [(1, "job_title", "Managing Broker", None), (2, "job_title", "Chief Execu
      ("role", "BROKERS", 4), ("role", "lead brokre", 4), ("role", "pawn broker", 0), ("location", "dola harbor, nl", 6), ("location", "Dola Harbor", 0), ("location", "USA, Norveland, Pema", 7), ("location", "near Pema", 7), ("location", "Pema LC 12345", 0), ("location", "Pema Ridge, Doria, USA", 0), ("location", "x" * 20_000, 0)],
 )
 def test_canonical(field, value, ref):
-    assert canonical.References(field, [(r, e, s) for r, f, e, s in REFS if f == field]).best(value) == ref
+    assert canonical.meant(field, canonical.References(field, [(r, e, s) for r, f, e, s in REFS if f == field]).best(value)) == ref
 
 
 def test_prefix_filter_loses_nothing():
@@ -100,6 +100,17 @@ def test_map_values(spark):
     assert canonical.map_values(values.limit(0), refs).count() == 0
 
 
+def test_blocks_of_references_change_nothing(spark):
+    entries = ["Sales Manager", "Sale Manager", "Sales Managers", "Salee Manager", "Office Manager", "Manager", "Salee Manager"]
+    refs = spark.createDataFrame([(i + 1, "job_title", e, None) for i, e in enumerate(entries)] + [(i, "location", f"Pema, {s}, USA", c) for i, (s, c) in enumerate((("Norveland", "NL"), ("Doria", "DR")), 20)], "ref_id int, field_name string, entry string, short_form string")
+    typed = ["sales manager", "sale manager", "salee managr", "salee  manager", "manager", "Oficce Manager", "clerk", "Sales Manager"]
+    values = spark.createDataFrame([("job_title", i, v) for i, v in enumerate(typed)] + [("location", 50, "pema"), ("location", 51, "pema dr")], "field_name string, record_id bigint, value string")
+    want = {tuple(r) for r in canonical.map_values(values, refs).collect()}
+    assert ("job_title", 0, 1) in want and ("job_title", 3, 0) in want and ("location", 50, 0) in want and ("location", 51, 21) in want and len(want) == 9
+    for block in (1, 2, 20_000):
+        assert {tuple(r) for r in canonical.map_values(values, refs, block=block).collect()} == want
+
+
 # ---- 4: residue
 RESIDUE = ["{{ company_name }} Homes", "Welcome to <%= city %>, your source.", "Contact [city] today.", "404 Not Found", "Please enable JavaScript to view this website.", "Lorem ipsum dolor sit", "undefined", "Your tagline goes here.", "Página no encontrada.", "Just a moment...", "%SITE_TITLE%", "The office of [object Object] sells."]
 CONTENT = ["Suite 404 Realty of Ada Bo", "Error-Free Homes of Ada", "Cannot find the page in your contract that explains escrow? We can.", "Prices from $500K [sponsored listing] for lofts.", "0% commission plans (no hidden fees).", "Moment Homes of Ada", "We build websites and JavaScript widgets for tenants as well.", None, "", "  ", "word " * 30_000]
