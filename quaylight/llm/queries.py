@@ -63,6 +63,16 @@ def p5_copies(spark: SparkSession, d: str) -> DataFrame:
     return classes.where("company_id = class_id").select("company_id", "copies")
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each record with the class of its address and the number of records of it."""
+    return urls.address_classes(table(spark, d, "company_details"), "company_id", "website_url")
+
+
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    """Each record with the class of its three address fields together and the number of records of it."""
+    return urls.record_classes(table(spark, d, "company_details"), "company_id", ["website_url", "normalized_url", "root_domain"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "extracted_email")
     best = survivor.survivors(rows, survivor.plain_mailbox(F.col("email")), "email_id", "confidence_score", "extracted_at", ["best_source_url"])
@@ -76,6 +86,13 @@ def p6_golden(spark: SparkSession, d: str) -> DataFrame:
     return best.withColumnRenamed("key", "email").withColumnRenamed("urls", "all_source_urls")
 
 
+def p6_order(spark: SparkSession, d: str) -> DataFrame:
+    """Which value of a field comes after which, as learned over all mailboxes."""
+    rows = table(spark, d, "extracted_email")
+    learned = [survivor.precedence(rows, survivor.plain_mailbox(F.col("email")), "extracted_at", f).select(F.lit(f).alias("field_name"), "earlier", "later") for f in ("source_page_type", "confidence_level")]
+    return learned[0].unionByName(learned[1])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     firms, emails = table(spark, d, "company_details"), table(spark, d, "extracted_email")
     unnamed = residue.residue(firms, "company_id", ["company_name"]).select("company_id")
@@ -115,10 +132,10 @@ _BLANK = r"[\s\x{0085}\x{00a0}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\
 _PUNCT = urls.PUNCT.replace("'", "''")
 
 
-def _p5_classes() -> str:
-    """Each company_id with its address in one spelling."""
+def _p5_keys(column: str = "website_url") -> str:
+    """Each company_id with an address in one spelling."""
     one = "regexp_replace({}, '{}', '{}'{})".format
-    x = one("lower(website_url)", _BLANK, "", ", 'g'")
+    x = one(f"lower({column})", _BLANK, "", ", 'g'")
     x = one(x, f"^[{_PUNCT}]+|[{_PUNCT}=]+$", "", ", 'g'")
     for p in (r"^(?:[a-z][a-z0-9+.\-]*:/+|(?:https?|ftp):)", f"^[{_PUNCT}]+", r"^(?:www\.+)+"):
         x = one(x, p, "", "")
@@ -129,12 +146,16 @@ def _p5_classes() -> str:
     host = one("regexp_extract(head, '^[^/]*')", f"[{_PUNCT}]+$", "", "")
     path = one("regexp_extract(head, '^[^/]*(.*)$', 1)", "/+", "/", ", 'g'")
     fields = "list_sort(list_filter(string_split(case when contains(x, '?') then substr(x, strpos(x, '?') + 1) else '' end, '&'), lambda q: q <> ''))"
-    return f"""with a as (select company_id, {x} x from company_details where regexp_replace(website_url, '{_BLANK}|[{_PUNCT}]', '', 'g') <> ''),
- b as (select company_id, x, {head} head from a), k as (select company_id, {host} || chr(1) || {path} || chr(1) || array_to_string({fields}, '&') k from b)"""
+    return f"""select company_id, {host} || chr(1) || {path} || chr(1) || array_to_string({fields}, '&') k from
+ (select company_id, x, {head} head from (select company_id, {x} x from company_details where regexp_replace({column}, '{_BLANK}|[{_PUNCT}]', '', 'g') <> ''))"""
 
 
-P5_SQL = _p5_classes() + " select a.company_id company_id_a, b.company_id company_id_b from k a join k b on a.k = b.k and a.company_id < b.company_id"
-P5_COPIES = _p5_classes() + " select min(company_id) company_id, count(*) copies from k group by k"
+P5_SQL = f"with k as ({_p5_keys()}) select a.company_id company_id_a, b.company_id company_id_b from k a join k b on a.k = b.k and a.company_id < b.company_id"
+P5_COPIES = f"with k as ({_p5_keys()}) select min(company_id) company_id, count(*) copies from k group by k"
+P5_CLASSES = f"with k as ({_p5_keys()}) select company_id, min(company_id) over (partition by k) class_id, count(*) over (partition by k) copies from k"
+P5_RECORDS = f"""with a as ({_p5_keys()}), b as ({_p5_keys("normalized_url")}), c as ({_p5_keys("root_domain")}),
+ k as (select company_id, [a.k, b.k, c.k] k from a full join b using (company_id) full join c using (company_id))
+ select company_id, min(company_id) over (partition by k) class_id, count(*) over (partition by k) copies from k"""
 
 _MAIL = f"regexp_replace(lower(regexp_replace(email, '{_BLANK}', ' ', 'g')), '\\s*[\\[({{<]\\s*at\\s*[\\])}}>]\\s*', '@', 'g')"
 _MAIL = f"regexp_replace(replace(regexp_replace({_MAIL}, '\\s*[\\[({{<]\\s*dot\\s*[\\])}}>]\\s*', '.', 'g'), '%40', '@'), '\\s*@\\s*', '@', 'g')"
@@ -143,9 +164,26 @@ P6_SQL = f"""with m as (select distinct email_id, regexp_extract(replace({_MAIL}
  select email, max(email_id) filter (n = 1) score_email_id, coalesce(arg_min(email_id, n) filter (trim(u) <> ''), 0) url_email_id from r group by email having count(*) > 1"""
 
 
+_BEST = "arg_min({0}, n) filter (trim({0}) <> '') {0}, coalesce(arg_min(email_id, n) filter (trim({0}) <> ''), 0) {0}_id".format
+P6_GOLDEN = f"""with m as (select distinct email_id, regexp_extract(replace({_MAIL}, 'mailto:', ' '), '[a-z0-9][a-z0-9._%+''\\-]*@[a-z0-9](?:[a-z0-9.\\-]*[a-z0-9])?') email, confidence_score, extracted_at w, best_source_url, cast(to_json(all_source_urls) as varchar) urls, person_name, job_title, source_page_type, confidence_level from extracted_email where email is not null),
+ r as (select *, row_number() over (partition by email order by confidence_score desc nulls last, w desc nulls last, email_id) n from m where email <> '')
+ select email, arg_min(email_id, n) best_id, arg_min(confidence_score, n) filter (confidence_score is not null) confidence_score, coalesce(arg_min(email_id, n) filter (confidence_score is not null), 0) confidence_score_id, {_BEST("best_source_url")}, arg_min(urls, n) filter (urls <> '') all_source_urls, coalesce(arg_min(email_id, n) filter (urls <> ''), 0) urls_id,
+ {_BEST("person_name")}, {_BEST("job_title")}, max({{'w': w, 'v': source_page_type}}) filter (source_page_type <> '').v source_page_type, max({{'w': w, 'v': confidence_level}}) filter (confidence_level <> '').v confidence_level from r group by email having count(*) > 1"""
+
+
+def _p6_order(field: str) -> str:
+    return f"""(with recursive r as (select distinct regexp_extract(replace({_MAIL}, 'mailto:', ' '), '[a-z0-9][a-z0-9._%+''\\-]*@[a-z0-9](?:[a-z0-9.\\-]*[a-z0-9])?') k, extracted_at w, {field} v from extracted_email where email is not null and extracted_at is not null and {field} <> ''),
+ b as (select v, lag(v) over (partition by k order by w, v) b from r where k <> ''), n as (select b, v, count(*) n from b where b <> v group by b, v),
+ s as (select x.b e, x.v l from n x left join n y on y.b = x.v and y.v = x.b where x.n > coalesce(y.n, 0) and x.n >= 3), c as (select e, l from s union select c.e, s.l from c join s on c.l = s.e)
+ select '{field}' field_name, e earlier, l later from c where not exists (select 1 from c z where z.e = c.l and z.l = c.e))"""
+
+
+P6_ORDER = _p6_order("source_page_type") + " union all " + _p6_order("confidence_level")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p5_found": P5_SQL, "p5_copies": P5_COPIES, "p6_found": P6_SQL}
+    return {"p2_found": P2_SQL, "p5_found": P5_SQL, "p5_copies": P5_COPIES, "p5_classes": P5_CLASSES, "p5_records": P5_RECORDS, "p6_found": P6_SQL, "p6_golden": P6_GOLDEN, "p6_order": P6_ORDER}

@@ -51,24 +51,39 @@ def survivors(records: DataFrame, key: Column, ident: str, score: str, when: str
 
 
 def precedence(records: DataFrame, key: Column, when: str, value: str, support: int = 3) -> DataFrame:
-    """Which value of a field follows which: (earlier, later), learned from all timestamped rows.
+    """Which value of a field comes after which: (earlier, later), learned from all timestamped rows and closed.
 
-    A pair holds if, over all keys, consecutive rows change from earlier to later more often than back,
-    and at least `support` times. The field must have few distinct values.
+    A step holds if, over all keys, consecutive rows change from earlier to later more often than back, and at least `support`
+    times. (earlier, later) is a pair if steps lead from earlier to later and none lead back; values that lead to each other are not ordered. Rows
+    of one time count in the order of their values. The steps, not the rows, are closed: no more than the pairs of distinct values
+    of the field, which must be few.
     """
     rows = records.select(key.alias("key"), F.col(when).alias("w"), F.col(value).cast("string").alias("v")).where("key is not null and w is not null and v <> ''").distinct()
-    step = rows.withColumn("before", F.lag("v").over(Window.partitionBy("key").orderBy("w", "v"))).where("before is not null and before <> v")
-    n = step.groupBy("before", "v").agg(F.count(F.lit(1)).alias("n"))
+    # neighbours within each hour of a key, then the ends of its hours: a key of a third of all rows is sorted in many tasks
+    rows = rows.withColumn("hour", F.date_trunc("hour", "w") if dict(rows.dtypes)["w"].startswith("timestamp") else F.floor(F.col("w") / 3600))
+    within = rows.select("v", F.lag("v").over(Window.partitionBy("key", "hour").orderBy("w", "v")).alias("before"))
+    ends = rows.groupBy("key", "hour").agg(F.min(F.struct("w", "v"))["v"].alias("v"), F.max(F.struct("w", "v"))["v"].alias("last"))
+    between = ends.select("v", F.lag("last").over(Window.partitionBy("key").orderBy("hour")).alias("before"))
+    n = within.unionByName(between).where("before is not null and before <> v").groupBy("before", "v").agg(F.count(F.lit(1)).alias("n"))
     back = n.select(F.col("v").alias("before"), F.col("before").alias("v"), F.col("n").alias("m"))
-    return n.join(back, ["before", "v"], "left").where(f"n > coalesce(m, 0) and n >= {int(support)}").select(F.col("before").alias("earlier"), F.col("v").alias("later"))
+    steps = cut(n.join(back, ["before", "v"], "left").where(f"n > coalesce(m, 0) and n >= {int(support)}").select(F.col("before").alias("earlier"), F.col("v").alias("later")))
+    reach, known = steps, steps.count()
+    while True:
+        # paths twice as long each round
+        longer = reach.select("earlier", F.col("later").alias("via")).join(reach.select(F.col("earlier").alias("via"), "later"), "via").select("earlier", "later")
+        reach = cut(reach.unionByName(longer).distinct())
+        if (found := reach.count()) == known:
+            break
+        known = found
+    return reach.join(reach.select(F.col("later").alias("earlier"), F.col("earlier").alias("later")), ["earlier", "later"], "left_anti")
 
 
 def current_values(records: DataFrame, key: Column, when: str, value: str, support: int = 3) -> DataFrame:
     """The current value of a field for each key: (key, value, dated).
 
     Where a row of the key with a value has a timestamp, the value of the latest one (of equal times the greatest
-    value). Else the topologically latest of the key's values under `precedence`: one that no other value of the key follows;
-    of several the one in most rows, then the greatest; if every value is followed by another, the same tie rule among all.
+    value). Else the topologically latest of the key's values in the partial order of `precedence`: one after which no other value of the key
+    comes, whether or not values between them are the key's own; of several the one in most rows, then the greatest.
     Null and empty values never count; a key without any is left out.
     """
     rows = records.select(key.alias("key"), F.col(when).alias("w"), F.col(value).cast("string").alias("v")).where("key is not null and v <> ''")

@@ -51,9 +51,25 @@ def address_classes(records: DataFrame, ident: str, url: str) -> DataFrame:
     return coded.join(classes, "t").select(F.col("id").alias(ident), "class_id", "copies")
 
 
-def class_pairs(classes: DataFrame, ident: str) -> DataFrame:
-    """All pairs of records of one class, the smaller ident first: (a, b)."""
-    many = classes.where("copies > 1")
-    a = many.select("class_id", F.col(ident).alias("a"))
-    b = many.select("class_id", F.col(ident).alias("b"))
-    return a.join(b, "class_id").where("a < b").select("a", "b")
+def class_pairs(classes: DataFrame, ident: str, part: int = 1_000) -> DataFrame:
+    """All pairs of records of one class, the smaller ident first: (a, b). A class of more than `part` records is joined in as many tasks as it has parts."""
+    many = classes.where("copies > 1").withColumn("parts", F.ceil(F.col("copies") / part))
+    a = many.select("class_id", F.col(ident).alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("slice"))
+    b = many.select("class_id", F.col(ident).alias("b"), F.pmod(F.xxhash64(ident), "parts").alias("slice"))
+    return a.join(b, ["class_id", "slice"]).where("a < b").select("a", "b")
+
+
+def record_classes(records: DataFrame, ident: str, fields: list[str]) -> DataFrame:
+    """Each record with its class over several address fields: (ident, class_id, copies).
+
+    Records are of one class if all their fields are the same address (see address_classes); null and blank count as the same, and a record of which
+    all fields are so is left out. Each field is encoded by address_classes, and the tuples of class ids, one a field and 0 for none, are grouped.
+    """
+    coded = records.select(F.col(ident).alias("id"))
+    for k, f in enumerate(fields):
+        mine = address_classes(records, ident, f).select(F.col(ident).alias("id"), F.col("class_id").alias(f"c{k}"))
+        coded = coded.join(mine, "id", "left")
+    codes = [f"c{k}" for k in range(len(fields))]
+    coded = cut(coded.select("id", F.array(*codes).alias("t")).where(F.exists("t", lambda c: c.isNotNull())))
+    classes = coded.groupBy("t").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    return coded.join(classes, "t").select(F.col("id").alias(ident), "class_id", "copies")
