@@ -22,7 +22,6 @@ _silent = re.compile("[­​-‏⁠﻿]")
 _spaced = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*·•~+/\\ ]){2,}[^\W_](?![^\W_])")
 _disguised = re.compile(r"(?<![\w$@])(?=[\w@$!|€£]*[^\W\d_])(?=[\w@$!|€£]*[0-9@$!|€£])[^\W_@$]?[\w@$€£!|]*[^\W_]|(?<!\w)[@$][^\W_]{2,}")
 _word = re.compile(r"[^\W\d_]+(?:[*#]+[^\W\d_]*)*|\d+")
-_name = re.compile(r"\b[A-Z][a-z]*(?:[bcdfghjklmnpqrstvwxz][aeiouy]){2,}\w*")
 _split = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|[\r\n\u0085  ]+|\s+[|•·»]\s+")
 _closed = re.compile(r"[.!?…][\"'”’»)\]]*$")
 
@@ -52,9 +51,9 @@ def passages(text: str, longest: int = 40) -> list[str]:
 
 
 def reveal(passage: str) -> list[str]:
-    """The words of a passage, disguise undone: hidden signs, spaced letters, signs and digits for letters, drawn-out letters; numbers and invented names are one word each."""
+    """The words of a passage, disguise undone: hidden signs, spaced letters, signs and digits for letters, drawn-out letters, capitals; numbers are one word."""
     t = _silent.sub("", unicodedata.normalize("NFKC", passage))
-    t = _name.sub(" zzname ", t).lower()
+    t = t.lower()
     t = _spaced.sub(lambda m: re.sub(r"[^\w]|_", "", m[0]), t)
     t = _disguised.sub(lambda m: m[0].translate(SIGNS), t)
     t = re.sub(r"([^\W\d_])\1{2,}", r"\1", t)
@@ -176,49 +175,54 @@ def fit(labelled: list[tuple[str, int]], rounds: int = 2, folds: int = 3, right:
     memory: dict = {}
     docs = [([k for s in passages(t) if (k := tuple(reveal(s)))], y) for t, y in labelled]
     docs = [(ps, y) for ps, y in docs if ps]
-    seen = {0: Counter(), 1: Counter()}
-    for ps, y in docs:
-        seen[y].update(set(ps))
-    feats: dict[tuple, np.ndarray] = {}
-    for ps, _ in docs:
-        for p in ps:
-            if p not in feats:
-                feats[p] = np.array(features(list(p), memory), np.int32)
     base = sum(y for _, y in docs) / max(1, len(docs))
     if not docs or base in (0.0, 1.0):
         return Scorer(np.zeros(1 << BITS, np.float32), -4.0)
-    # words that texts labelled 0 use as well, to tell which passages are out of line
-    words = {0: Counter(), 1: Counter()}
+    # words of fewer than three texts, names mostly, are one in all that is counted; what is learned are the words themselves
+    times = Counter(w for ps, _ in docs for w in {w for p in ps for w in p})
+    usual = {w for w, n in times.items() if n >= 3}
+    key_of: dict[tuple, tuple] = {}
+    for ps, _ in docs:
+        for p in ps:
+            if p not in key_of:
+                key_of[p] = tuple(w if w in usual else "~" for w in p)
+    feats = {p: np.array(features(list(p), memory), np.int32) for p in key_of}
+    seen, words = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
     for ps, y in docs:
-        words[y].update({w for p in ps for w in p})
+        keys = {key_of[p] for p in ps}
+        seen[y].update(keys)
+        # words that texts labelled 0 use as well, to tell which passages are out of line
+        words[y].update({w for k in keys for w in k})
+    alike = Counter(key_of.values())
     n0, n1 = sum(1 for _, y in docs if y == 0), sum(1 for _, y in docs if y == 1)
 
-    def odd(p: tuple) -> float:
-        return sum(max(0.0, np.log((words[1][w] + 0.5) / (n1 + 1) / ((words[0][w] + 0.5) / (n0 + 1)))) for w in set(p)) / (len(set(p)) + 1)
+    def odd(k: tuple) -> float:
+        return sum(max(0.0, np.log((words[1][w] + 0.5) / (n1 + 1) / ((words[0][w] + 0.5) / (n0 + 1)))) for w in set(k)) / (len(set(k)) + 1)
 
     # an abusive passage stands mostly in texts labelled 1, a clean one in as many as chance would have it
     for_it, against = np.log(right / base), np.log((1 - right) / (1 - base))
-    oddness = {p: odd(p) for p in seen[1] if seen[1][p] * for_it + seen[0][p] * against > 0}
-    positive = {p for p, o in oddness.items() if o > 0.5}
+    oddness = {k: odd(k) for k in seen[1] if seen[1][k] * for_it + seen[0][k] * against > 0}
+    positive = {k for k, o in oddness.items() if o > 0.5}
     if not positive:
-        positive = set(sorted(oddness, key=lambda p: (-oddness[p], p))[: max(1, n1 // 2)])
-    fold = {p: _hash(" ".join(p)) % folds for p in feats}
+        positive = set(sorted(oddness, key=lambda k: (-oddness[k], k))[: max(1, n1 // 2)])
+    fold = {k: _hash(" ".join(k)) % folds for k in alike}
+    chosen = {p for p, k in key_of.items() if k in positive}
 
     def model(ps: list[tuple], steps: int, r: int) -> Scorer:
         epochs = max(4, min(40, steps * 128 // max(1, len(ps))))  # as many steps for few passages as for many
-        y = np.array([int(p in positive) for p in ps])
-        weight = np.array([min(4.0, 1 + np.log(seen[0][p] + seen[1][p])) for p in ps], np.float32)
+        y = np.array([int(p in chosen) for p in ps])
+        weight = np.array([min(4.0, 1 + np.log(seen[0][key_of[p]] + seen[1][key_of[p]])) / np.sqrt(alike[key_of[p]]) for p in ps], np.float32)
         weight[y == 1] *= min(6.0, max(1.0, 0.5 * weight[y == 0].sum() / max(1e-9, weight[y == 1].sum())))
         return Scorer(*Model(seed=seed + r).train([feats[p] for p in ps], y, weight, epochs).scalars())
 
     for r in range(rounds):
-        used = [p for p in feats if p not in oddness or p in positive or r]
-        judges = [model([p for p in used if fold[p] != k], 400, r * folds + k) for k in range(folds)]
-        kept = {p for p in oddness if judges[fold[p]].passage(list(p)) > 0.2}
+        used = [p for p, k in key_of.items() if k not in oddness or p in chosen or r]
+        judges = [model([p for p in used if fold[key_of[p]] != f], 400, r * folds + f) for f in range(folds)]
+        kept = {p for p, k in key_of.items() if k in oddness and judges[fold[k]].passage(list(p)) > 0.2}
         if not kept:
             break
-        positive = kept
-    return model(list(feats), 800, 99)
+        chosen = kept
+    return model(list(key_of), 800, 99)
 
 
 def scored(documents: DataFrame, labels: DataFrame, most: int = 6_000, seed: int = 5) -> DataFrame:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-import os
-import uuid
+import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, spread
+from ..session import send_file, sent_file, spread
 
 # Fixed value: the public pattern that splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -141,14 +140,24 @@ class Lexicon:
             node = int(self.target[k])
         return self.ids[self.at[n] : self.at[n + 1]].tolist() if self.final[node] else None
 
-    def save(self, folder: str) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for k, v in self.arrays.items():
-            np.save(f"{folder}/{k}.npy", v)
+    def save(self, path: str) -> None:
+        """One file: the length of the head, the head (name, type and size of each array), and the arrays, each at a multiple of 64 bytes."""
+        head = json.dumps([[k, v.dtype.str, len(v)] for k, v in self.arrays.items()]).encode()
+        with open(path, "wb") as f:
+            f.write(len(head).to_bytes(8, "little") + head)
+            for v in self.arrays.values():
+                f.write(b"\0" * (-f.tell() % 64) + v.tobytes())
 
     @classmethod
-    def mapped(cls, folder: str) -> Lexicon:
-        return cls({k: np.load(f"{folder}/{k}.npy", mmap_mode="r") for k in cls.NAMES})
+    def mapped(cls, path: str) -> Lexicon:
+        data = np.memmap(path, np.uint8, "r")
+        size = int.from_bytes(data[:8].tobytes(), "little")
+        arrays, at = {}, 8 + size
+        for k, kind, n in json.loads(data[8:at].tobytes()):
+            at += -at % 64
+            arrays[k] = data[at : at + n * np.dtype(kind).itemsize].view(kind)
+            at += n * np.dtype(kind).itemsize
+        return cls(arrays)
 
 
 class Encoder:
@@ -203,9 +212,8 @@ def encode(documents: DataFrame, ident: str, text: str, vocabulary: str = VOCABU
     rows are encoded as often. vocabulary is the path of a rank file.
 
     The words of all texts are counted; the `frequent` most frequent ones (of equal counts the smaller word) are compiled into a
-    transducer, whose size this parameter bounds. It is written to the shared folder and memory-mapped by every worker, so
-    the workers of a machine share one copy; where that folder is no file system path, its arrays are sent instead. All other words
-    are merged exactly: the choice of words changes the speed only.
+    transducer, whose size this parameter bounds. It is a file that every machine gets once and its workers map into memory, so
+    they share one copy. All other words are merged exactly: the choice of words changes the speed only.
     """
     spark = documents.sparkSession
     ranks = read_ranks(vocabulary)
@@ -213,19 +221,11 @@ def encode(documents: DataFrame, ident: str, text: str, vocabulary: str = VOCABU
     counted = texts.select("text").where("text <> ''").mapInPandas(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "word").limit(frequent).select("word").collect()
     lexicon = Lexicon.compile({w: merge(w, ranks) for w in (r[0].encode() for r in top)})
-    shared = shared_dir(spark)
-    local = shared[5:] if shared.startswith("file:") else shared if "://" not in shared else None
-    folder = arrays = None
-    if local:
-        folder = f"{'/' + local.lstrip('/')}/lexicon-{uuid.uuid4().hex}"
-        lexicon.save(folder)
-    else:
-        arrays = lexicon.arrays
-    sent = spark.sparkContext.broadcast((ranks, arrays))
+    file = send_file(spark, "lexicon.bin", lexicon.save)
+    sent = spark.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, given = sent.value
-        encoder = Encoder(known, Lexicon(given) if given else Lexicon.mapped(folder))
+        encoder = Encoder(sent.value, Lexicon.mapped(sent_file(file)))
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "ids": [encoder(None if t is None or t is pd.NA or t != t else t) for t in b["text"]]})
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,10 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir
+from ..session import cut, send_file, sent_file
 
 BITS = 18
-_name = re.compile(r"\b[A-Z][a-z]*(?:[bcdfghjklmnpqrstvwxz][aeiouy]){2,}\w*")
 _token = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*|[^\w\s]+|_+")
 # the point after an initial or a short title ends no sentence
 _end = re.compile(r"(?:(?<!\b[A-Z])(?<!\b[A-Z][a-z])(?<!\b[A-Z][a-z]{2})(?<!\b[A-Z][a-z]{3})|(?<=\bMay)|(?<=\bJune)|(?<=\bJuly))[.!?。！？](?:[\"'”’»)\]]*)\s+(?=\S)|[\n\r|•·»]+\s*")
@@ -59,16 +58,43 @@ def _open_json(t: str) -> tuple[int, bool]:
     return outside.count("{") + outside.count("[") - outside.count("}") - outside.count("]"), len(strings) % 2 == 0
 
 
-def _masked(text: str) -> list[str]:
-    return _token.findall(re.sub(r"\d", "0", _name.sub("Zz", text)))
+class Words:
+    """The usual words of a table (see usual_words)."""
 
+    def __init__(self, words: list[str] | None = None):
+        self.order = sorted(words or [])
+        self.known = set(self.order)
 
-def _begun(text: str) -> set[tuple[str, ...]]:
+    def __contains__(self, w: str) -> bool:
+        return w in self.known
+
+    def begun(self, w: str) -> bool:
+        """Whether w is not usual itself but begins a usual word."""
+        i = bisect_left(self.order, w)
+        return w not in self.known and i < len(self.order) and self.order[i].startswith(w)
+
+    def masked(self, text: str) -> list[str]:
+        """The words and signs of a text, digits being 0; a word with a capital that is not usual, as most names are, is Zz."""
+        return ["Zz" if w[0].isupper() and w not in self.known else w for w in _token.findall(re.sub(r"\d", "0", text))]
+
+
+def usual_words(values: DataFrame, total: int, share: float = 2e-4) -> list[str]:
+    """The words, digits being 0, that are in at least `share` of the `total` distinct values of the column `value` (three at least), counted over all values.
+
+    A word at the very end, which may be cut, is not counted. The values hold so many words between them that no more than the words of a value over share can be usual.
+    """
+    pattern = r"[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*(?=.)"
+    words = F.array_distinct(F.regexp_extract_all(F.regexp_replace("value", "[0-9]", "0"), F.lit(f"(?s){pattern}"), F.lit(0)))
+    n = values.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r["w"] for r in n.where(F.col("n") >= max(3, share * total)).where(F.length("w") <= 40).select("w").collect())
+
+
+def _begun(text: str, usual: Words) -> set[tuple[str, ...]]:
     """The first one, two and three words of the sentences of a text that are seen to begin after another and to end."""
     if kind_of(text) != "text":
         return set()
     parts = re.findall(r"(?<=[.!?])(?<!\b[A-Z]\.)(?<!\b[A-Z][a-z]\.)(?<!\b[A-Z][a-z]{2}\.)(?<!\b[A-Z][a-z]{3}\.)\s+([^.!?|•·\n]{12,}[.!?])(?=\s|$)", text)
-    return {tuple(w[:k]) for part in parts for w in [_masked(part.strip())[:3]] for k in (1, 2, 3) if len(w) == 3}
+    return {tuple(w[:k]) for part in parts for w in [usual.masked(part.strip())[:3]] for k in (1, 2, 3) if len(w) == 3}
 
 
 def _with_beginnings(kept: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
@@ -76,9 +102,9 @@ def _with_beginnings(kept: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
     return kept | {("~", x[0][:k]) for x in kept if len(x) == 1 for k in range(1, len(x[0]))}
 
 
-def openers_of(texts: list[str], least: int = 2) -> frozenset[tuple[str, ...]]:
+def openers_of(texts: list[str], usual: Words, least: int = 2) -> frozenset[tuple[str, ...]]:
     """The first one, two and three words of sentences that are seen to begin after another and to end, each in at least `least` texts."""
-    n = Counter(x for t in texts for x in _begun(t))
+    n = Counter(x for t in texts for x in _begun(t, usual))
     return frozenset(_with_beginnings({x for x, c in n.items() if c >= least}))
 
 
@@ -102,17 +128,21 @@ class Openers:
         return self.memory[x]
 
 
-def _count_openers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    n: Counter = Counter()
-    flush = lambda: pd.DataFrame({"opener": list(n.keys()), "n": list(n.values())})
-    for b in batches:
-        for t in b["value"]:
-            n.update("\0".join(x) for x in _begun(t))
-        if len(n) > 200_000:
+def _count_openers(words: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter = Counter()
+        usual = Words(words)
+        flush = lambda: pd.DataFrame({"opener": list(n.keys()), "n": list(n.values())})
+        for b in batches:
+            for t in b["value"]:
+                n.update("\0".join(x) for x in _begun(t, usual))
+            if len(n) > 200_000:
+                yield flush()
+                n.clear()
+        if n:
             yield flush()
-            n.clear()
-    if n:
-        yield flush()
+
+    return run
 
 
 def _hash_openers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,11 +150,11 @@ def _hash_openers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"h": [_opener_hash(x) for x in _with_beginnings({tuple(o.split("\0")) for o in b["opener"]})]}, dtype="int64")
 
 
-def opener_hashes(texts: DataFrame, least: int = 2) -> np.ndarray:
+def opener_hashes(texts: DataFrame, words: list[str], least: int = 2) -> np.ndarray:
     """The sorted hashes of openers_of() over all of the column `value`, counted where the rows are. The driver gets eight bytes an opener."""
     # two ends with enough between them are needed; what begins with a tag is no text
     some = texts.select("value").where(~F.col("value").startswith("<") & F.col("value").rlike("[.!?][^.!?|•·]{13,}[.!?]"))
-    kept = some.mapInPandas(_count_openers, "opener string, n bigint").groupBy("opener").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    kept = some.mapInPandas(_count_openers(words), "opener string, n bigint").groupBy("opener").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return np.sort(kept.mapInPandas(_hash_openers, "h bigint").distinct().toArrow().column("h").to_numpy().astype(np.int64))
 
 
@@ -145,14 +175,19 @@ def _opening(words: list[str], openers: frozenset | Openers, earlier: bool) -> t
 
 def _last(t: str) -> tuple[str, bool]:
     """What stands after the last end of a sentence or line, and whether a sentence ends right before it."""
-    tail = t[-240:]
-    starts = [m.end() for m in _end.finditer(tail)]
-    if not starts:
-        return tail, False
-    return tail[starts[-1] :], re.search(r"[.!?][\"'”’»)\]]*\s+$", tail[: starts[-1]]) is not None
+    at, back, size = 0, len(t), 240
+    while not at and back > 0:
+        # from the end backwards, as far as it takes
+        back, size = max(0, len(t) - size), 4 * size
+        at = max((m.end() for m in _end.finditer(t, back)), default=0)
+    return t[at:], at > 0 and re.search(r"[.!?][\"'”’»)\]]*\s+$", t[max(0, at - 60) : at]) is not None
+
 
+def shape_of(word: str) -> str:
+    return "lower" if word.islower() else "cap" if word[:1].isupper() else "other"
 
-def describe(text: str, limit: int = 0, openers: frozenset | Openers = frozenset()) -> list[str]:
+
+def describe(text: str, limit: int = 0, openers: frozenset | Openers = frozenset(), usual: Words = Words()) -> list[str]:
     """The features of one value by name: its closing characters, punctuation, open structure and last words, and how its
     length lies to the limit of its source."""
     kind = kind_of(text)
@@ -183,7 +218,7 @@ def describe(text: str, limit: int = 0, openers: frozenset | Openers = frozenset
     if closed and not short:
         return [*out, "closed", f"closed {t[-1:]}", f"limit {near if limit else ''} closed"]
     last, earlier = _last(t)
-    words, raw = _masked(last), _token.findall(last)
+    words, raw = usual.masked(last), _token.findall(last)
     begin, known = _opening(words, openers, earlier)
     out += [f"opening {known} {earlier}", f"opening {known} {min(len(words) - max(begin, 0), 6)}"]
     if known == 3:
@@ -197,12 +232,15 @@ def describe(text: str, limit: int = 0, openers: frozenset | Openers = frozenset
     w1, w2, w3 = ([*words[::-1], "^", "^", "^"])[:3]
     first = " ".join(words[:2])
     name = raw[-1] if raw and w1 == "Zz" else ""
+    # a word that is usual, one that begins a usual word, or neither
+    end = re.sub(r"\d", "0", raw[-1]) if raw else ""
+    state = f"{'whole' if end in usual else 'begun' if usual.begun(end) else 'neither'} {shape_of(end)}"
     listed = sum(x in "|/•·>»-–,;" for x in words) > 0
     shape = f"{'lower' if w1.islower() else 'name' if name else 'cap' if w1[:1].isupper() else 'num' if w1[:1] == '0' else w1}"
     out += [
         f"form {form} {earlier}", f"earlier {earlier} {shape} {listed}", f"w1 {w1}", f"w1 {w1} {earlier}", f"w2 {w2} {w1}", f"w3 {w3} {w2} {w1}", f"first {first}", f"first {first} last {w1}",
         f"first {first} n {min(n, 30)}", f"first {' '.join(words[:3])} {w2} {w1} {min(n, 30)}", f"n {min(n, 12)} {listed} {earlier}", f"opening {known} {w2} {w1}", f"opening {known} {w3} {w2} {w1} {shape}", f"opening {known} {earlier} {shape} {listed}", f"limit {near if limit else ''} {earlier} {ws} {shape}", f"c3 {t[-3:].lower() if w1 != 'Zz' else name[-1:]}",
-        f"odd {len(name) % 2} {name[-1:] in 'aeiou'} {first}" if name else "no name", f"titled {all(x[:1].isupper() or not x[:1].isalpha() or len(x) < 4 for x in raw)} {earlier} {n > 5}",
+        f"usual {state}", f"usual {state} {earlier} {listed}", f"usual {state} {first}", f"usual {state} {w2}", f"titled {all(x[:1].isupper() or not x[:1].isalpha() or len(x) < 4 for x in raw)} {earlier} {n > 5}",
     ]
     return out
 
@@ -265,7 +303,7 @@ def cut_copy(text: str, rng: np.random.Generator, limits: list[int]) -> str | No
     return piece if len(s) >= 5 else None
 
 
-def train(values: list[tuple[str, str]], limits: dict[str, list[int]], openers: frozenset | Openers = frozenset(), seed: int = 7) -> tuple[np.ndarray, float]:
+def train(values: list[tuple[str, str]], limits: dict[str, list[int]], openers: frozenset | Openers = frozenset(), usual: Words = Words(), seed: int = 7) -> tuple[np.ndarray, float]:
     """Fit on (source, value): values presumed intact, and cut copies of them.
 
     Not presumed intact: values that end in a sign of omission, have open structure, lie at a limit without an end of sentence,
@@ -291,16 +329,16 @@ def train(values: list[tuple[str, str]], limits: dict[str, list[int]], openers:
             bad = t.count("(") > t.count(")") or t[-1:] not in ";})"
         else:
             last, earlier = _last(t)
-            bad = not _closing.search(t) and (len(v) in near or _opening(_masked(last), openers, earlier)[1] > 0)
+            bad = not _closing.search(t) and (len(v) in near or _opening(usual.masked(last), openers, earlier)[1] > 0)
         if bad:
             continue
         closed = kind != "text" or bool(_closing.search(t))
-        whole.append((hashed(describe(v, limit, openers)), closed))
+        whole.append((hashed(describe(v, limit, openers, usual)), closed))
         # headings, lists and the like are too short for a limit: only what has an end to lose is cut
         for _ in range(2 if closed else 0):
             c = cut_copy(v, rng, near)
             if c is not None:
-                cuts.append(hashed(describe(c, _limit(len(c), near), openers)))
+                cuts.append(hashed(describe(c, _limit(len(c), near), openers, usual)))
     if not whole or not cuts:
         return np.zeros(1 << BITS), -1.0
     rows, y = [w for w, _ in whole] + cuts, np.r_[np.zeros(len(whole)), np.ones(len(cuts))]
@@ -315,55 +353,60 @@ def _limit(n: int, limits: list[int]) -> int:
     return next((x for x in sorted(limits) if n <= x), limits and max(limits) or 0)
 
 
-def limits_of(lengths: DataFrame, least: int = 20, share: float = 8.0) -> dict[str, list[int]]:
-    """From (source, len, n), counted over all values: for each source the lengths at which its values pile up, more than `share`
-    times the mean of the five lengths on each side and at least `least` values; of each source the eight with the most."""
-    n = lengths.where(f"n >= {least}").select("source", "len", "n")
+def limits_of(lengths: DataFrame, share: float = 8.0, least: float = 0.003) -> dict[str, list[int]]:
+    """From (source, len, n), n distinct values, counted over all: for each source the lengths at which its values pile up, more than `share` times what the five lengths
+    on each side hold on average (plus a half, so that few values are no pile), and at least the part `least` of the source's. No source has more than 1 / least."""
     w = Window.partitionBy("source").orderBy("len").rangeBetween(-5, 5)
-    around = n.withColumn("around", (F.sum("n").over(w) - F.col("n")) / 10).where((F.col("n") > share * F.col("around")) & (F.col("len") >= 50))
-    top = around.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "len"))).where("k <= 8")
+    around = lengths.select("source", "len", "n", F.sum("n").over(Window.partitionBy("source")).alias("all"), ((F.sum("n").over(w) - F.col("n")) / 10).alias("around"))
     found: dict[str, list[int]] = {}
-    for r in top.collect():
+    for r in around.where((F.col("n") > share * (F.col("around") + 0.5)) & (F.col("n") >= least * F.col("all"))).collect():
         found.setdefault(r["source"], []).append(r["len"])
     return found
 
 
-def truncated(values: DataFrame, sample: int = 20_000, seed: int = 7) -> DataFrame:
+def drawn(have: DataFrame, distinct: dict[str, int], sample: int, longest: int) -> list[tuple[str, str]]:
+    """(source, value): for each field its part of `sample` distinct values of up to `longest` characters, the first by a hash. A value of a third of all rows is one."""
+    per = sample // max(1, len(distinct))
+    at = F.pmod(F.xxhash64("value"), F.lit(1 << 30))
+    share = F.coalesce(*[F.when(F.col("field_name") == f, F.lit(min(1.0, 1.2 * per / max(1, n)))) for f, n in distinct.items()]) if distinct else F.lit(0.0)
+    few = have.where((at < share * F.lit(float(1 << 30))) & (F.length("value") <= longest)).groupBy("field_name", "value").agg(F.min("at").alias("at"))
+    rows = []
+    for f in sorted(distinct):
+        rows += [(r[0], r[1]) for r in few.where(F.col("field_name") == f).orderBy(at, "value").limit(per).select("at", "value").collect()]
+    return rows
+
+
+def truncated(values: DataFrame, sample: int = 20_000, longest: int = 5_000, seed: int = 7) -> DataFrame:
     """(field_name, record_id, source, score, cut): every value with the probability that it breaks off before its end.
 
     values: (field_name, record_id, source, value). Null, empty and blank values are left out; source may be null. cut is score > 0.5. Rows delivered
     several times are scored as often. An empty table, or one without an intact value, gives scores under 0.5.
 
-    The model is fitted on at most about `sample` values, a documented bound; they are taken by a hash of the value, evenly from all
-    fields. Limits and openers are counted over all values, and every value is scored whole. The openers are written to the shared
-    folder and memory-mapped by every worker; where that folder is no file system path, they are sent instead.
+    The model is fitted on at most `sample` distinct values of up to `longest` characters, documented bounds; they are taken by a hash of the value, evenly from all
+    fields. Limits, usual words and openers are counted over all values, and every value is scored whole. The openers are a file that every
+    machine gets once and its workers map into memory; the usual words have a bound of their own.
     """
     have = values.where("value is not null and trim(value) <> ''").select("field_name", "record_id", F.concat_ws("/", "field_name", F.coalesce("source", F.lit("-"))).alias("at"), "source", "value")
-    lengths = cut(have.groupBy("field_name", F.col("at").alias("source"), F.length("value").alias("len")).agg(F.count(F.lit(1)).alias("n")))
+    # values of different length are different, so these add up
+    lengths = cut(have.groupBy("field_name", F.col("at").alias("source"), F.length("value").alias("len")).agg(F.approx_count_distinct("value", 0.02).alias("n")))
     limits = limits_of(lengths)
-    total = {r[0]: r[1] for r in lengths.groupBy("field_name").agg(F.sum("n")).collect()}
-    per = sample // max(1, len(total))
-    share = F.coalesce(*[F.when(F.col("field_name") == f, F.lit(min(1.0, per / n))) for f, n in total.items()]) if total else F.lit(0.0)
-    drawn = have.where(F.pmod(F.xxhash64("value"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
-    rows = [(r[0], r[1]) for r in drawn.select("at", "value").orderBy(F.xxhash64("value", "at")).collect()]
-    hashes = opener_hashes(have)
+    distinct = {r[0]: r[1] for r in lengths.groupBy("field_name").agg(F.sum("n")).collect()}
+    rows = drawn(have, distinct, sample, longest)
+    words = usual_words(have.where(~F.ltrim("value").startswith("<")), sum(distinct.values()))
+    usual = Words(words)
+    hashes = opener_hashes(have, words)
     openers = Openers(hashes)
-    shared = shared_dir(values.sparkSession)
-    local = shared[5:] if shared.startswith("file:") else shared if "://" not in shared else None
-    file = local and f"{'/' + local.lstrip('/')}/openers-{uuid.uuid4().hex}.npy"
-    if file:
-        np.save(file, hashes)
-    sent = values.sparkSession.sparkContext.broadcast(None if file else hashes)
-    w, bias = train(rows, limits, openers, seed)
+    file = send_file(values.sparkSession, "openers.npy", lambda path: np.save(path, hashes))
+    w, bias = train(rows, limits, openers, usual, seed)
     at = np.flatnonzero(w)
     packed = (at.astype(np.int32), w[at].astype(np.float32))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         full = np.zeros(1 << BITS, np.float32)
         full[packed[0]] = packed[1]
-        openers = Openers(np.load(file, mmap_mode="r") if file else sent.value)
+        openers, usual = Openers(np.load(sent_file(file), mmap_mode="r")), Words(words)
         for b in batches:
-            rows = [hashed(describe(v, _limit(len(v), limits.get(s, [])), openers)) for s, v in zip(b["at"], b["value"])]
+            rows = [hashed(describe(v, _limit(len(v), limits.get(s, [])), openers, usual)) for s, v in zip(b["at"], b["value"])]
             p = 1 / (1 + np.exp(-np.clip(_margins(rows, full, bias), -30, 30)))
             yield pd.DataFrame({"field_name": b["field_name"], "record_id": b["record_id"], "source": b["source"], "score": p, "cut": p > 0.5})
 

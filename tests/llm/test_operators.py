@@ -277,8 +277,8 @@ def test_tokens_against_library(spark):
 def test_lexicon_is_minimal_and_exact(tmp_path):
     words = {w.encode(): [i, i + 1] for i, w in enumerate("tap taps top tops stop stops a ab abc".split())}
     lex = tokens.Lexicon.compile(words)
-    lex.save(str(tmp_path))
-    mapped = tokens.Lexicon.mapped(str(tmp_path))
+    lex.save(str(tmp_path / "lexicon"))
+    mapped = tokens.Lexicon.mapped(str(tmp_path / "lexicon"))
     assert all(mapped.find(w) == ids for w, ids in words.items())
     assert all(mapped.find(w) is None for w in (b"", b"t", b"tapss", b"stopsx", b"zz"))
     assert len(lex.first) - 1 < sum(map(len, words))
