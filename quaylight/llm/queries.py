@@ -11,7 +11,7 @@ from . import abuse, canonical, leaks, names, residue, survivor, tokens, topn, t
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     firms, emails = table(spark, d, "company_details"), table(spark, d, "extracted_email")
-    residual = cut(residue.residue(firms, "company_id", ["snippet"]).select("company_id"))
+    residual = cut(residue.residue(firms, "company_id", ["snippet"], "website_url").select("company_id"))
     snippets = firms.join(residual, "company_id", "left_anti").select(F.lit("snippet").alias("field_name"), F.col("company_id").alias("record_id"), F.col("source_engine").alias("source"), F.col("snippet").alias("value"))
     both = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in ("nearby_text", "html_context")]))
     contexts = emails.select(F.col("email_id").alias("record_id"), F.col("extraction_method").alias("source"), both.alias("x"))
@@ -49,7 +49,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue(table(spark, d, "company_details"), "company_id", ["snippet", "company_name"]).select("company_id", "field_name")
+    return residue.residue(table(spark, d, "company_details"), "company_id", ["snippet", "company_name"], "website_url").select("company_id", "field_name")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,7 @@ def p6_order(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     firms, emails = table(spark, d, "company_details"), table(spark, d, "extracted_email")
-    unnamed = residue.residue(firms, "company_id", ["company_name"]).select("company_id")
+    unnamed = residue.residue(firms, "company_id", ["company_name"], "website_url").select("company_id")
     firm_names = firms.join(unnamed, "company_id", "left_anti").select(F.lit(0).cast("bigint").alias("scope"), F.col("company_id").alias("id"), F.col("company_name").alias("name"))
     person_names = emails.select(F.col("company_id").alias("scope"), F.col("email_id").alias("id"), F.col("person_name").alias("name"))
     found = [names.variant_pairs(names.linked_names(rows, key)).withColumn("field_name", F.lit(f)) for f, rows, key in (("company_name", firm_names, names.firm_key), ("person_name", person_names, names.person_key))]

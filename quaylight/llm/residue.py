@@ -2,14 +2,18 @@ r"""Problem 4: template residue, filler and error-page text in place of content.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
+from .truncation import BITS, hashed
+from .truncation import fit as logistic
 
 # Unresolved slots, wherever they stand in a value.
 SLOTS = [
@@ -33,7 +37,7 @@ SLOTS = [
     r"(?<![\w.\-])null(?:\s*,?\s*null\b|(?=\s*\.?\s*$))|\b(?:Call|Contact|Visit|Serving|Welcome to|Email)\s+null\b|^\s*null\s",
     r"(?<!\w)NaN(?!\w)",
 ]
-# What a message template says when it is filler, an error message or a demand for scripts. A template's digits are all 0.
+# Seed labels for what a message says when it is filler, an error message or a demand for scripts. Digits are all 0.
 MESSAGES = [
     r"\blorem ipsum\b|\bdolor sit amet\b|\bconsectetur\b",
     r"\b(?:sample|dummy|placeholder|filler|example|default|demo) (?:text|paragraph|content|page|sentence|title|heading|description|copy)\b",
@@ -62,17 +66,12 @@ MESSAGES = [
     r"^\W*just a moment\b(?! (?:homes|realty|of))|\bchecking (?:your browser|that you are|if you are|if the site)|\b(?:not|are) a robot\b|\bverify (?:that )?you are (?:a )?human\b|\bcomplete the captcha\b|\bddos protection\b|\bray id\b",
     r"\b(?:enable|activate|activer|activez|activar|activa|active|aktivieren|aktiviere|habilitar|habilite|allow|turn on|switch on|einschalten|permita|autorisez|requires?|need|needs|require) (?:sie |el |los |las |le |les |bitte |your |the )?(?:java ?script|scripts?|cookies|js)\b|\bjava ?script (?:is |muss |must |needs? |has to |and cookies |est |est[aá] |ist |wird )?(?:to be |be |sein )?(?:disabled|required|enabled|aktiviert|ben[oö]tigt|d[ée]sactiv[ée]|deshabilitado|desactivado|deaktiviert|off\b|turned off|erforderlich|n[ée]cessaire|necesario|not enabled|blocked|aktivieren)|\bscripts? (?:are |is |be )?(?:required|disabled|blocked|needed)\b|\bblocks? (?:java)?scripts?\b|\bbrowser (?:is out of date|does not support|doesn.t support|is not supported)\b|\bunsupported browser\b|\bwithout java ?script\b|\bjava ?script\b.{0,40}\b(?:einschalten|aktivieren|activer|activar)\b",
 ]
-# Ordinary wording that speaks of such things.
-ORDINARY = r"\b(?:not denied to any|no question is an error|javascript widgets|scripts for cold calls)\b"
-
 _slot = "|".join(f"(?:{x})" for x in SLOTS)
 
 
-def is_message(template: str) -> bool:
-    """The verdict on one template, or on one value: is it filler, an error message or a demand for scripts?"""
-    t = template.replace("’", "'").lower()
-    if re.search(ORDINARY, t):
-        return False
+def is_seed(value: str) -> bool:
+    """Whether a value, its digits being 0, is worded like a known kind of filler, error message or demand for scripts."""
+    t = value.replace("’", "'").lower()
     return any(re.search(m, t) for m in MESSAGES)
 
 
@@ -80,56 +79,146 @@ def has_slot(text: str) -> bool:
     return re.search(_slot, text) is not None
 
 
-def tokens_of(value: Column) -> Column:
+_space = re.compile(r"[\s\u0085\u00a0\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]+")
+SPREAD = 16  # hosts are counted up to this number
+MINED = "id bigint, field_name string, leaf bigint, slot boolean, seed boolean, words array<string>, n bigint, seeds bigint, hosts array<bigint>"
+
+
+def words_of(value: str) -> list[str]:
     """The words of a value; in each, digits are one and the same sign."""
-    spaced = F.trim(F.regexp_replace(value, r"[\s  -​ 　﻿]+", " "))
-    return F.split(F.regexp_replace(spaced, "[0-9]", "0"), " ")
+    return re.sub(r"\d", "0", _space.sub(" ", value).strip()).split(" ")
 
 
-def mine_templates(values: DataFrame, depth: int = 4) -> DataFrame:
-    """(v) -> (v, template): a fixed-depth prefix tree over the words of each distinct value.
+def leaf_of(words: list[str], depth: int) -> int:
+    """The leaf of the tree that a value comes to: by the number of its words, its first `depth` words and its last."""
+    path = "\0".join([str(len(words)), *words[:depth], words[-1]])
+    return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _mine(depth: int, held: int = 100_000):
+    """One pass over the values: each with its leaf and what can be told of it alone, and the part of the tree that the task has grown."""
 
-    Inner levels of the tree are the number of words, the first `depth` words and the last word; a leaf is one template, whose
-    other positions are a word if all values of the leaf have it there and a wildcard else. Values of a leaf are
-    never gathered: positions are grouped, with partial aggregates, so a template of a third of all values is no burden.
-    """
-    words = values.select("v", tokens_of(F.col("v")).alias("w"))
-    leaf = F.xxhash64(F.size("w"), F.slice("w", 1, depth), F.element_at("w", -1))
-    keyed = words.select("v", leaf.alias("leaf"), "w")
-    # the leading words and the last are constant in a leaf: only the middle can vary
-    middle = F.slice("w", depth + 1, F.greatest(F.size("w") - depth - 1, F.lit(0)))
-    at = keyed.select("leaf", F.posexplode_outer(middle).alias("pos", "word"))
-    agreed = at.groupBy("leaf", "pos").agg(F.min("word").alias("lo"), F.max("word").alias("hi"))
-    agreed = agreed.select("leaf", "pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("pos").isNotNull(), "<*>").alias("word"))
-    bodies = agreed.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("m"))
-    heads = keyed.groupBy("leaf").agg(F.first(F.slice("w", 1, depth)).alias("head"), F.first(F.when(F.size("w") > depth, F.element_at("w", -1))).alias("tail"))
-    text = F.concat_ws(" ", F.array_compact(F.concat("head", F.transform("m", lambda x: x["word"]), F.array("tail"))))
-    templates = heads.join(bodies, "leaf").select("leaf", text.alias("template"))
-    return keyed.select("v", "leaf").join(templates, "leaf").select("v", "template")
-
-
-def _verdicts(column: str, out: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[int, bool, bool]] = {}
+        tree: dict[int, list] = {}
+
+        def grown() -> pd.DataFrame:
+            rows = [(None, None, leaf, None, None, w, n, s, sorted(h)) for leaf, (w, n, s, h) in tree.items()]
+            tree.clear()
+            return pd.DataFrame(rows, columns=["id", "field_name", "leaf", "slot", "seed", "words", "n", "seeds", "hosts"]).astype({"id": "Int64", "n": "Int64", "seeds": "Int64", "slot": "boolean", "seed": "boolean"})
+
         for b in batches:
-            yield pd.DataFrame({column: b[column], out: [is_message(x) for x in b[column]] if out == "message" else [has_slot(x) for x in b[column]]})
+            out = []
+            for v, host in zip(b["v"], b["host"]):
+                words = None
+                if v not in known:
+                    words = words_of(v)
+                    if len(known) > held:
+                        known.clear()
+                    known[v] = (leaf_of(words, depth), has_slot(v), is_seed(" ".join(words)))
+                leaf, slot, seed = known[v]
+                out.append((leaf, slot, seed))
+                if leaf not in tree:
+                    tree[leaf] = [words or words_of(v), 0, 0, set()]
+                x = tree[leaf]
+                if words and x[0] is not words:
+                    x[0] = [p if p == q else None for p, q in zip(x[0], words)]
+                elif words is None and x[1] == 0:
+                    x[0] = words_of(v)
+                x[1], x[2] = x[1] + 1, x[2] + seed
+                if host == host and host is not None and (len(x[3]) < SPREAD or host < max(x[3])):
+                    x[3] = set(sorted(x[3] | {int(host)})[:SPREAD])
+            rows = pd.DataFrame(out, columns=["leaf", "slot", "seed"])
+            yield rows.assign(id=b["id"].to_numpy(), field_name=b["field_name"].to_numpy(), words=None, n=None, seeds=None, hosts=None).astype({"n": "Int64", "seeds": "Int64"})
+            if len(tree) > held:
+                yield grown()
+                # what is remembered of a value is no longer in the tree
+                known.clear()
+        if tree:
+            yield grown()
 
     return run
 
 
-def residue(records: DataFrame, ident: str, fields: list[str], depth: int = 4) -> DataFrame:
+def mine(values: DataFrame, depth: int = 4) -> DataFrame:
+    """(id, field_name, v, host) -> the rows of MINED: for each value (id, field_name, leaf, slot, seed), and parts of a fixed-depth prefix tree (leaf, words, n, seeds, hosts).
+
+    A leaf's words are null where its values differ; n counts its values and seeds those that are seeds; hosts are the smallest hashes of up to SPREAD hosts. Every task grows its own tree,
+    so values are not shuffled, and a template of a third of all values is one row a task.
+    """
+    return values.mapInPandas(_mine(depth), MINED)
+
+
+def templates_of(mined: DataFrame) -> DataFrame:
+    """(leaf, template, n, seeds, spread): the parts of the tree merged; a word that differs is <*>."""
+    same = lambda a, b: F.zip_with(a, b, lambda x, y: F.when(x == y, x))
+    lists = mined.where("words is not null").groupBy("leaf").agg(F.collect_list("words").alias("w"), F.sum("n").alias("n"), F.sum("seeds").alias("seeds"), F.flatten(F.collect_list("hosts")).alias("hosts"))
+    merged = F.reduce("w", F.get("w", F.lit(0)), same)
+    text = F.array_join(F.transform(merged, lambda x: F.coalesce(x, F.lit("<*>"))), " ")
+    return lists.select("leaf", text.alias("template"), "n", "seeds", F.least(F.size(F.array_distinct("hosts")), F.lit(SPREAD)).alias("spread"))
+
+
+def describe(template: str, n: int, spread: int) -> list[str]:
+    """The features of a template: its words and pairs of them, their number, how much of it differs, and over how many unlike hosts it is spread."""
+    words = template.lower().split(" ")
+    bare = [re.sub(r"^\W+|\W+$", "", w) or w for w in words]
+    wild = sum(w == "<*>" for w in words)
+    apart = f"{min(4, int(np.log2(max(1, spread))))}"
+    return [
+        *{f"w {w}" for w in bare}, *{f"p {a} {b}" for a, b in zip(bare, bare[1:])}, f"begin {' '.join(bare[:2])}", f"length {min(30, len(words)) // 3}", f"spread {apart}", f"spread {apart} {len(words) // 4}", f"again {n > 1 and spread <= 1}", f"wild {wild > 0} {apart}",
+    ]
+
+
+def fit(rows: list[tuple[int, str, int, int, bool]], folds: int = 5, seed: int = 3) -> list[tuple[np.ndarray, float]]:
+    """From (leaf, template, n, spread, seed) to one model for each fold of the leaves, which has not seen that fold: a seed is learned from others like it only."""
+    fold = np.array([r[0] % folds for r in rows], int)
+    feats, y = [hashed(describe(*r[1:4])) for r in rows], np.array([float(r[4]) for r in rows])
+    out = []
+    for k in range(folds):
+        use = np.flatnonzero(fold != k)
+        # without seeds, or without others, nothing is learned
+        out.append(logistic([feats[i] for i in use], y[use], epochs=5, seed=seed) if 0 < y[use].sum() < len(use) else (np.zeros(1 << BITS), 0.0))
+    return out
+
+
+def margins(models: list[tuple[np.ndarray, float]], leaf: Iterable[int], template: Iterable[str], n: Iterable[int], spread: Iterable[int]) -> np.ndarray:
+    """How much speaks for a message in each template, by the model of the folds it is not in."""
+    return np.array([w[hashed(describe(t, m, s))].sum() + b for x, t, m, s in zip(leaf, template, n, spread) for w, b in [models[x % len(models)]]], float)
+
+
+def residue(records: DataFrame, ident: str, fields: list[str], host: str | None = None, depth: int = 4, sample: int = 20_000, trust: float = 8.0, doubt: float = 0.25) -> DataFrame:
     """(ident, field_name, kind) of each value that is, or contains, residue; kind is 'message' or 'slot'.
 
-    records: any columns; ident and the fields name some of them. Null, empty and blank values are no residue.
-    A record delivered several times gives its rows once. Every distinct value is mined and searched whole.
-    Templates get their verdict once; values take over their template's. Unresolved slots are then looked for in
-    the values of all other templates. An empty table gives an empty result.
+    records: any columns; ident (an integer), the fields and host (the site of a record, if known) name some of them. Null, empty and blank values are no residue.
+    A record delivered several times gives its rows once. Every value is mined and searched whole. An empty table gives an empty result.
+
+    Values are grouped to templates by a fixed-depth prefix tree. Known wordings are seed labels only: a linear model over the words of templates, their spread over
+    unlike hosts and their wildcards is fitted on at most 2 * `sample` templates (a documented bound, taken by leaf) and judges each template once, by folds that it
+    is not in. Its values take the verdict over: a seed is a message unless the template's margin speaks against it by `trust`, another value is one if it
+    speaks for it by `doubt`. Unresolved slots are looked for in each value itself.
     """
     stack = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("v")) for f in fields]))
-    long = records.select(F.col(ident), stack.alias("x")).select(ident, "x.field_name", "x.v").where("v is not null and trim(v) <> ''")
-    values = long.select("v").distinct()
-    mined = cut(mine_templates(values, depth))
-    judged = mined.select("template").distinct().mapInPandas(_verdicts("template", "message"), "template string, message boolean")
-    told = mined.join(judged, "template").select("v", "message")
-    slots = told.where("not message").select("v").mapInPandas(_verdicts("v", "slot"), "v string, slot boolean").where("slot").select("v", F.lit("slot").alias("kind"))
-    found = told.where("message").select("v", F.lit("message").alias("kind")).unionByName(slots)
-    return long.join(found, "v").select(ident, "field_name", "kind").distinct()
+    site = F.xxhash64(F.lower(F.regexp_extract(F.coalesce(F.col(host), F.lit("")), r"^(?:[A-Za-z]+:/+)?(?:www\.)?([^/?#]*)", 1))) if host else F.lit(None).cast("bigint")
+    long = records.select(F.col(ident).cast("bigint").alias("id"), site.alias("host"), stack.alias("x")).select("id", "host", "x.field_name", "x.v").where("v is not null and trim(v) <> ''")
+    mined = cut(mine(spread(long), depth))
+    templates = cut(templates_of(mined))
+    drawn = []
+    for kind in ("seeds = n", "seeds = 0"):
+        drawn += templates.where(kind).orderBy("leaf").limit(sample).select("leaf", F.substring("template", 1, 2_000), "n", "spread", F.expr("seeds > 0")).collect()
+    models = fit([tuple(r) for r in drawn])
+    packed = [(np.flatnonzero(w).astype(np.int32), w[np.flatnonzero(w)].astype(np.float32), b) for w, b in models]
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = []
+        for at, x, bias in packed:
+            w = np.zeros(1 << BITS)
+            w[at] = x
+            known.append((w, bias))
+        for b in batches:
+            yield pd.DataFrame({"leaf": b["leaf"], "margin": margins(known, b["leaf"], b["template"], b["n"], b["spread"])})
+
+    judged = templates.mapInPandas(judge, "leaf bigint, margin double")
+    told = mined.where("id is not null").select("id", "field_name", "leaf", "slot", "seed").distinct().join(judged, "leaf")
+    message = F.col("margin") + F.when(F.col("seed"), trust).otherwise(-doubt) > 0
+    found = told.withColumn("kind", F.when(message, "message").when(F.col("slot"), "slot")).where("kind is not null")
+    return found.select(F.col("id").cast(records.schema[ident].dataType).alias(ident), "field_name", "kind").distinct()

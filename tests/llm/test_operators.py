@@ -160,10 +160,32 @@ def test_residue(spark):
     assert residue.residue(spark.createDataFrame([], "id int, snippet string"), "id", ["snippet"]).count() == 0
 
 
-def test_templates_agree_with_values(spark):
-    values = [f"Error in line {i} of the {x} page here" for i in range(3) for x in ("first", "last")] + ["one", "one two"]
-    got = {r["v"]: r["template"] for r in residue.mine_templates(spark.createDataFrame([(v,) for v in values], "v string")).collect()}
-    assert len(got) == 8 and got["one"] == "one" and got[values[0]] == got[values[1]] == "Error in line 0 of the <*> page here"
+def test_ordinary_wording_does_not_save_a_message(spark):
+    rows = [(1, "Access is not denied to any buyer. Page not found."), (2, "Please enable JavaScript to continue. We also sell javascript widgets"), (3, "Access to the park is not denied to any resident of Ada Commons.")]
+    assert sorted(r["id"] for r in residue.residue(spark.createDataFrame(rows, "id int, snippet string"), "id", ["snippet"]).collect()) == [1, 2]
+
+
+def test_templates_are_mined_in_parts(spark):
+    values = [f"Error in line {i} of the {x} page here" for i in range(3) for x in ("first", "last")] * 2 + ["one", "one two"]
+    rows = [(i, v, f"https://www.h{i % 3}.example/a") for i, v in enumerate(values)]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "id bigint, v string, u string").repartition(parts)
+        mined = residue.mine(df.select("id", F.lit("f").alias("field_name"), "v", F.xxhash64("u").alias("host")))
+        got = {r["template"]: (r["n"], r["spread"]) for r in residue.templates_of(mined).collect()}
+        assert got == {"Error in line 0 of the <*> page here": (12, 3), "one": (1, 1), "one two": (1, 1)}
+        assert mined.where("id is not null").count() == len(rows)
+
+
+def test_messages_without_a_seed_are_found_by_their_template(spark):
+    """Wordings that no pattern knows, near to those of known messages and spread over unlike hosts; content is as spread."""
+    rng = random.Random(1)
+    known = ["Page not found on this server, please try again", "This site requires scripts, please enable scripts and try again", "Internal server error on this server, please try again later"]
+    fresh = "This server gave an error, please try again later"
+    content = [f"Our {a} homes near the {b} sell in {c} weeks" for a in ("red", "old", "big", "new") for b in ("lake", "park", "mill", "hill") for c in ("two", "six", "ten")]
+    assert not residue.is_seed(fresh)
+    values = [(rng.choice(known) + f" {i}", f"h{i}.example") for i in range(60)] + [(fresh, f"g{i}.example") for i in range(12)] + [(c, f"k{i}{j}.example") for j in range(4) for i, c in enumerate(content)]
+    df = spark.createDataFrame([(i, v, u) for i, (v, u) in enumerate(values)], "id int, snippet string, site string")
+    assert {r["id"] for r in residue.residue(df, "id", ["snippet"], "site").collect()} == set(range(72))
 
 
 # ---- 7: names
@@ -248,17 +270,39 @@ def test_truncation_held_out(spark):
 def test_openers_are_those_of_all_values(spark, monkeypatch):
     texts = [f"We sell homes. {w} {x} porch has {i} steps and a rail. Ask us" for i, (w, x) in enumerate(itertools.product([f"W{a}ord{b}" for a in "abcdef" for b in "ghijkl"], ("red", "old")))]
     texts += ["<p>Hi there. Zulu homes are sold by us today. Ask.</p>", '{"a": "Hi there. Yoke homes are sold by us today. Ask", "b": 1}', "  <b> Hi there. Xray homes are sold by us. </b>", "One end only.", ""] * 2
+    texts += ["Wa0b Wb1c sell."] * 3
     df = spark.createDataFrame([("nearby_text", i, None, t) for i, t in enumerate(texts)], "field_name string, record_id bigint, source string, value string")
-    want = truncation.openers_of(texts)
-    assert len(want) > 50
-    held = truncation.Openers(truncation.opener_hashes(df))
+    words = truncation.usual_words(df, len(texts))
+    assert {"We", "sell", "homes", "Wa0b"} <= set(words) and "Waorda" not in words
+    want = truncation.openers_of(texts, truncation.Words(words))
+    assert len(want) >= 6 and ("Zz", "red", "porch") in want
+    held = truncation.Openers(truncation.opener_hashes(df, words))
     assert len(held.hashes) == len(want) and all(x in held for x in want) and ("Zulu",) not in held and ("~", "Q") not in held
     # the draw for the fit has no say in them
     used = []
-    monkeypatch.setattr(truncation, "train", lambda rows, limits, openers, seed: used.append((len(rows), openers)) or (truncation.np.zeros(1 << truncation.BITS), -1.0))
+    monkeypatch.setattr(truncation, "train", lambda rows, limits, openers, usual, seed: used.append((len(rows), openers)) or (truncation.np.zeros(1 << truncation.BITS), -1.0))
     truncation.truncated(df, sample=20).count()
     assert used[0][0] < 60 and all(x in used[0][1] for x in want)
-    assert len(truncation.opener_hashes(df.limit(0))) == 0
+    assert len(truncation.opener_hashes(df.limit(0), [])) == 0
+
+
+def test_the_draw_is_bounded(spark):
+    """A value of most rows is drawn once, long ones are left to be scored only, and no more than the sample are taken."""
+    rows = [("f", i, None, "The same sentence again.") for i in range(500)] + [("f", 1000 + i, None, f"Sentence number {i} is here.") for i in range(300)] + [("f", 5000, None, "long " * 400)]
+    df = spark.createDataFrame(rows, "field_name string, record_id bigint, source string, value string").withColumn("at", F.lit("f/-"))
+    got = truncation.drawn(df, {"f": 302}, 100, 1000)
+    assert 60 < len(got) <= 100 and len({v for _, v in got}) == len(got) and all(len(v) < 1000 for _, v in got)
+
+
+def test_limits_are_piles_at_any_size(spark):
+    lengths = [("a", n, 30 + n % 3) for n in range(20, 400)] + [("a", 200, 900), ("a", 30, 700)] + [("b", n, 1) for n in range(20, 60)] + [("b", 100, 2)] + [("c", 40, 6), ("c", 77, 1)]
+    got = truncation.limits_of(spark.createDataFrame(lengths, "source string, len int, n bigint").groupBy("source", "len").agg(F.sum("n").alias("n")))
+    assert {k: sorted(v) for k, v in got.items()} == {"a": [30, 200], "c": [40]}
+
+
+def test_the_last_sentence_is_found_however_long():
+    t = "One ends here. " + "word " * 2000
+    assert truncation._last(t) == (t[15:], True) and truncation._last("word " * 500) == ("word " * 500, False)
 
 
 # ---- 8: tokens
@@ -353,6 +397,11 @@ def _review(rng, bad):
     return ".\n".join(lines) + "."
 
 
+@pytest.mark.parametrize("text", ["Whore, get out of here", "Salope", "Pendejo", "Cabrones", "Miserable"])
+def test_capitals_hide_nothing(text):
+    assert abuse.reveal(text) == abuse.reveal(text.lower()) == [w.strip(",").lower() for w in text.split()]
+
+
 def test_abuse_held_out(spark):
     rng = random.Random(6)
     docs = [(i, _review(rng, i % 4 == 0), f"s{i % 3}") for i in range(900)]
