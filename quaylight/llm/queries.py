@@ -93,15 +93,25 @@ def p6_order(spark: SparkSession, d: str) -> DataFrame:
     return learned[0].unionByName(learned[1])
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
+def _linked(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
     firms, emails = table(spark, d, "company_details"), table(spark, d, "extracted_email")
     unnamed = residue.residue(firms, "company_id", ["company_name"], "website_url").select("company_id")
     firm_names = firms.join(unnamed, "company_id", "left_anti").select(F.lit(0).cast("bigint").alias("scope"), F.col("company_id").alias("id"), F.col("company_name").alias("name"))
     person_names = emails.select(F.col("company_id").alias("scope"), F.col("email_id").alias("id"), F.col("person_name").alias("name"))
-    found = [names.variant_pairs(names.linked_names(rows, key)).withColumn("field_name", F.lit(f)) for f, rows, key in (("company_name", firm_names, names.firm_key), ("person_name", person_names, names.person_key))]
+    return [("company_name", names.linked_names(firm_names, names.firm_key)), ("person_name", names.linked_names(person_names, names.person_key))]
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = [names.variant_pairs(linked).withColumn("field_name", F.lit(f)) for f, linked in _linked(spark, d)]
     return found[0].unionByName(found[1]).select("field_name", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each named record with its entity and the number of other names of it."""
+    found = [names.classes(linked).withColumn("field_name", F.lit(f)) for f, linked in _linked(spark, d)]
+    return found[0].unionByName(found[1]).select("field_name", "id", "entity", "links")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "ids")
 

@@ -226,6 +226,34 @@ def test_paths_are_followed_to_their_end(spark):
     assert {r["node"]: r["up"] for r in names._leaders(links).collect()} == {i: 12 for i in range(12)}
 
 
+def test_a_chain_of_spellings_is_one_entity(spark):
+    """Seven spellings, each one edit from the next and each more frequent; and the same beside many other names."""
+    chain = ["Hinasidova", "Hinasidove", "Hinasidole", "Hinasimole", "Hinakimole", "Himakimole", "Pimakimole"]
+    rows = [(0, 100 * k + j, f"Gregory {w}") for k, w in enumerate(chain) for j in range(k + 1)]
+    more = [(0, 10_000 + i, f"Walter {a}{b}{c}") for i, (a, b, c) in enumerate(itertools.product(("Bo", "Zu", "Ky"), ("ravip", "lemot", "tunag"), ("illo", "exena", "obuda"))) for _ in range(40)]
+    for extra in ([], more):
+        df = spark.createDataFrame(rows + extra, "scope bigint, id bigint, name string")
+        linked = names.linked_names(df, names.person_key)
+        assert linked.where("id < 10000").select("entity").distinct().count() == 1
+    got = {r["id"]: (r["entity"], r["links"]) for r in names.classes(linked).collect()}
+    assert {got[r[1]] for r in rows} == {(0, 6)} and got[10_000][0] == 10_000
+
+
+def test_middle_names_tell_people_apart(spark):
+    rows = [(1, 1, "Ana Maria Lopez"), (1, 2, "Ana Isabel Lopez"), (1, 3, "Ana Lopez"), (1, 4, "Lopez, Ana Mraia"), (2, 5, "Ana Maria Lopez"), (2, 6, "Ana Lopez"), (2, 7, "A. Lopez")]
+    got = names.variant_pairs(names.linked_names(spark.createDataFrame(rows, "scope bigint, id bigint, name string"), names.person_key)).collect()
+    assert set(map(tuple, got)) == {(1, 4), (5, 6), (5, 7), (6, 7)}
+
+
+def test_a_typo_in_each_word(spark):
+    """Whatever the number of names beside them: a rule that asks how common a word is would link them in one table and not in another."""
+    two = [(1, 1, "Gregory Hinasido"), (1, 2, "Gergory Hinasdio"), (1, 3, "Hinasibo, Gregary")]
+    many = [(1, 100 + i, f"{g} {s}") for i, (g, s) in enumerate(itertools.product(("Walter", "Gregory", "Ursula"), ("Pavulo", "Temoza", "Wakeli", "Zorube", "Ducham", "Lirofe", "Kobuna", "Setagu")))]
+    for rows in (two, two + many):
+        got = names.variant_pairs(names.linked_names(spark.createDataFrame(rows, "scope bigint, id bigint, name string"), names.person_key), part=2).collect()
+        assert {tuple(r) for r in got if r["b"] < 100} == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_rare_is_told_within_the_scope(spark):
     rows = [(k, 10 * k + i, n) for k in range(3) for i, n in enumerate(["Wodu Hinasidova", "Wodu Hinysydova"])]
     got = names.variant_pairs(names.linked_names(spark.createDataFrame(rows, "scope bigint, id bigint, name string"), names.person_key)).collect()
