@@ -98,7 +98,7 @@ def syntax_valid(email: Column) -> Column:
 
 
 def false_mail(email: Column) -> Column:
-    return F.regexp_like(F.lower(email), F.lit(r"\.(?:png|jpg|jpeg|gif|svg|webp)$")) | has_any(F.lower(email), rules.FALSE_MAILS)
+    return reduce(lambda a, b: a | b, [F.lower(email).endswith(x) for x in rules.IMAGES]) | has_any(F.lower(email), rules.FALSE_MAILS)
 
 
 def domain_match(mail_domain: Column, site_domain: Column) -> Column:
@@ -153,11 +153,24 @@ def title_role(title: Column) -> Column:
     return F.coalesce(first_of(t, rules.TIER_1 + rules.TIER_2 + rules.TIER_3 + rules.LOW_ROLES), title, F.lit(""))
 
 
+def person_role(name: Column, title: Column, email: Column) -> Column:
+    """(role, tier, label) of a person: a word of low priority anywhere first, then one of the tiers, then a title's own words, then the title, then a common mailbox."""
+    t, mail = F.coalesce(title, F.lit("")), F.coalesce(email, F.lit(""))
+    text = F.lower(F.concat_ws(" ", t, F.coalesce(name, F.lit("")), mail))
+    low = F.lower(t)
+    of = lambda role, tier, label: F.struct(role.alias("role"), F.lit(tier).alias("tier"), F.lit(label).alias("label"))
+    out = F.when(F.lit(False), of(F.lit(""), 0, ""))
+    for words, tier, label in ((rules.LOW_ROLES, -1, "Low Priority"), (rules.TIER_1, 1, "Decision Maker"), (rules.TIER_2, 2, "Broker/Agent"), (rules.TIER_3, 3, "General Contact")):
+        out = out.when(has_any(text, words), of(first_of(text, words), tier, label))
+    for words, tier, label in rules.TITLE_WORDS:
+        out = out.when(F.regexp_like(low, F.lit(rf"\b(?:{words})\b")), of(t, tier, label))
+    out = out.when(t != "", of(t, 0, "Other"))
+    local = F.substring_index(mail, "@", 1)
+    return out.when(local.isin(rules.GENERAL_MAILS), of(local, 3, "General Contact")).otherwise(of(F.lit(""), 0, "Unknown"))
+
+
 def person_tier(name: Column, title: Column, email: Column) -> Column:
-    text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(name, F.lit("")), F.coalesce(email, F.lit(""))))
-    t = F.lower(F.coalesce(title, F.lit("")))
-    out = F.when(has_any(text, rules.LOW_ROLES), -1).when(has_any(text, rules.TIER_1), 1).when(has_any(text, rules.TIER_2), 2).when(has_any(text, rules.TIER_3), 3)
-    return out.when(F.regexp_like(t, F.lit(r"\b(manager|lead|head|supervisor)\b")), 2).otherwise(0)
+    return person_role(name, title, email)["tier"]
 
 
 def tier_label(tier: Column) -> Column:
@@ -194,9 +207,9 @@ def confidence(method: Column, page: Column, syntax: Column, mx: Column, match:
 
 
 def looks_like_name(text: Column) -> Column:
-    """Two to five words, each with a capital or a particle."""
+    """Two to five words, each without a small letter in front, or a particle."""
     words = F.split(F.trim(text), r"\s+")
-    return F.size(words).between(2, 5) & F.forall(words, lambda w: F.regexp_like(w, F.lit(r"^\p{Lu}")) | F.lower(w).isin("de", "van", "von", "der", "la", "di", "da", "del", "bin", "al"))
+    return F.size(words).between(2, 5) & F.forall(words, lambda w: ~F.regexp_like(w, F.lit(r"^\p{Ll}")) | w.isin(rules.PARTICLES))
 
 
 def site_of(url: Column) -> Column:

@@ -35,6 +35,8 @@ TIER_2 = [
 ]
 TIER_3 = "info hello contact office admin sales support general inquiries".split()
 LOW_ROLES = "privacy legal compliance careers jobs support help noreply no-reply donotreply do-not-reply unsubscribe marketing billing".split()
+TITLE_WORDS = [("ceo|president|principal|founder|owner|partner|director|vp|vice.president", 1, "Decision Maker"), ("broker|realtor|agent|sales", 2, "Broker/Agent"), ("manager|lead|head|supervisor", 2, "Senior Contact")]
+GENERAL_MAILS = "info hello contact office admin sales support".split()
 RANK_TIER_1 = ["owner", "founder", "ceo", "president", "principal", "partner", "managing broker", "broker owner", "director", "vp"]
 RANK_TIER_2 = ["broker", "realtor", "agent", "team leader", "sales manager"]
 RANK_TIER_3 = "info hello contact office admin sales".split()
@@ -97,7 +99,15 @@ OBFUSCATED = [
     r"([A-Za-z0-9_][A-Za-z0-9_.%+\-]+)&#(?:64|[xX]40);([A-Za-z0-9_.\-]+)\.([A-Za-z0-9_]{2,})",
 ]
 FALSE_MAILS = "example.com test.com sentry.io wixpress.com".split()
-PHONE_CLASSES = "phone tel telephone contact-phone phone-number mobile fax".split()
+PHONE_CLASSES = "phone tel contact".split()
+PHONE_IDS = "phone tel".split()
+PHONE_PROPERTIES = "telephone phone".split()
+SOCIAL_CLASSES = "social linkedin facebook instagram twitter youtube tiktok".split()
+SOCIAL_HOSTS = "linkedin.com facebook.com instagram.com twitter.com x.com youtube.com tiktok.com".split()
+SKIPPED_HOSTS = "google.com goo.gl google.co googleapis.com bing.com microsoftonline.com microsoft.com youtube.com accounts.google.com support.google.com maps.google.com play.google.com".split()
+NO_NAMES = "the a an and or but our we you".split()
+PARTICLES = "de van von di da la el".split()
+IMAGES = ".png .jpg .jpeg .gif .svg .webp .bmp .ico".split()
 CSV_HEAD = ["Company Name", "Website", "Normalized URL", "Domain", "Status", "Pages Crawled", "Pages Discovered", "Emails Found", "Emails Rejected", "Best Email", "Best Contact Name", "Best Contact Role", "Best Score"]
 CSV_EACH = ["", " Name", " Role", " Score", " Source", " Method", " Page Type"]
 CSV_TAIL = ["Duration (s)", "Error Type", "Error Message", "All Emails (JSON)"]

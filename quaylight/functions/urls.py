@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from urllib.parse import urljoin
 
@@ -13,11 +14,11 @@ from pyspark.sql.types import StringType
 from . import rules
 
 # scheme, host, path, parameters of the last segment, query; a fragment is dropped
-_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
 
 def part(url: Column, k: int) -> Column:
-    return F.regexp_extract(url, _PARTS, k)
+    return F.regexp_extract(url, PARTS, k)
 
 
 def path(url: Column) -> Column:
@@ -62,6 +63,21 @@ def root_domain(url: Column) -> Column:
     return F.when(two.isin(rules.SUFFIXES), F.substring_index(h, ".", -3)).otherwise(two)
 
 
+def normal_link(url: str, known: dict[str, tuple[str, str]], most: int = 100_000) -> tuple[str, str]:
+    """normalize() and root_domain() of one address outside of a plan, remembered in known."""
+    if url not in known:
+        if len(known) >= most:
+            known.clear()
+        full = url if url.startswith(("http://", "https://")) else f"https://{url}"
+        m = re.match(PARTS, full, re.S)
+        scheme, site, p, q = (m[k] or "" for k in (1, 2, 3, 4)) if m else ("", "", "", "")
+        scheme, site = scheme.lower(), site.lower()
+        site = re.sub(":80$" if scheme == "http" else ":443$" if scheme == "https" else "$^", "", site).rstrip(".")
+        bare = re.sub(r":[0-9]*$|\.+$", "", re.sub(r"^.*@", "", site)).split(".")
+        known[url] = f"{scheme}://{site}{p if p == '/' else p.rstrip('/')}{'?' + q if q else ''}", ".".join(bare[-3 if ".".join(bare[-2:]) in rules.SUFFIXES else -2 :])
+    return known[url]
+
+
 def same_domain(a: Column, b: Column) -> Column:
     return root_domain(a) == root_domain(b)
 
@@ -164,3 +180,9 @@ def name_from_title(title: Column, domain: Column) -> Column:
 
 def fill_template(template: Column, location: Column) -> Column:
     return F.replace(F.replace(template, F.lit("{location}"), location), F.lit("{city}"), F.trim(F.substring_index(location, ",", 1)))
+
+
+def organic(href: Column) -> Column:
+    """Whether a link of a result page leads to a site of its own: http, a host with a dot, and no search engine's or other skipped host."""
+    h = host(href)
+    return F.coalesce(href.startswith("http") & h.contains(".") & ~has_any(h, rules.SKIPPED_HOSTS), F.lit(False))

@@ -22,13 +22,16 @@ def merge_mailboxes(rows: DataFrame, company: str = "company_id", first: tuple[s
     role, confidence_score and ord; null scores count as 0. Columns named in `first` are those of the first row too.
     """
     x = rows.withColumn("email_key", contacts.plain(F.col("email"))).where("email_key <> ''")
+    # an address of a mailbox is one row before its list is made, so a list holds distinct addresses only
+    once = x.where("source_url <> ''").groupBy(company, "email_key", "source_url").agg(F.min("ord").alias("ord"))
+    listed = once.groupBy(company, "email_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source_url"))), lambda s: s["source_url"]).alias("all_source_urls"))
     win = F.struct(-F.coalesce(F.col("confidence_score"), F.lit(0)), F.when(F.col("extraction_method") == "mailto", 0).otherwise(1), F.col("ord"))
     fields = ["email", "source_url", "source_page_type", "extraction_method", "person_name", "job_title", "role", "confidence_score"]
     best = F.min_by(F.struct(*fields), win)
-    ordered = F.array_sort(F.collect_set(F.when(F.col("source_url") != "", F.struct("ord", "source_url"))))
     kept = [F.min_by(c, "ord").alias(c) for c in first]
-    merged = x.groupBy(company, "email_key").agg(best.alias("b"), *kept, F.min_by("source_url", "ord").alias("best_source_url"), F.min("ord").alias("first_ord"), F.array_distinct(F.transform(ordered, lambda s: s["source_url"])).alias("all_source_urls"))
-    return merged.select(company, "email_key", "b.*", *first, "best_source_url", "first_ord", "all_source_urls")
+    merged = x.groupBy(company, "email_key").agg(best.alias("b"), *kept, F.min_by("source_url", "ord").alias("best_source_url"), F.min("ord").alias("first_ord"))
+    both = merged.join(listed, [company, "email_key"], "left")
+    return both.select(company, "email_key", "b.*", *first, "best_source_url", "first_ord", F.coalesce("all_source_urls", F.array().cast("array<string>")).alias("all_source_urls"))
 
 
 def best_per_local_part(rows: DataFrame) -> DataFrame:

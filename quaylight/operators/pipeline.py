@@ -1,4 +1,4 @@
-"""From stored pages to ranked contacts as one plan; the README lists the stages of the survey's path that it leaves out."""
+"""From stored pages to ranked contacts and one result a company, each as one plan."""
 
 from __future__ import annotations
 
@@ -16,43 +16,79 @@ def _new_to_company(rows: DataFrame, key: Column) -> DataFrame:
     return rows.withColumn("_first", F.min(place).over(w)).where((F.col("method") != "webextractor") | (F.col("_first") == place)).drop("_first")
 
 
-def contacts_of(pages: DataFrame, mx: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
-    """Ranked contacts of each company.
+def mails_of(pages: DataFrame, mx: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """Every mailbox of a company's pages, in their order, with whose it is and whether it holds: the rows of contacts_of() before they are merged, rejected ones too (v.keep).
 
-    pages: (page_id, company_id, page_ord, url, html); mx: (domain, has_mx); parsed: the pages as html.parse() gives them, if they were written. Rows are taken
-    in the order of page, method and place; the looser second pass comes last and adds what no earlier one gave. A mailbox that is malformed, disposable or not for replies is left out. Result: company_id, email_key,
-    source_url, best_source_url, all_source_urls, extraction_method, source_page_type, person_name, confidence_score, confidence_level, score_reasons, rank.
+    The name and title beside a mailbox are those of people(), of every page but a home page; the role is that of the title.
     """
     parsed = html.parse(pages) if parsed is None else parsed
     at = pages.select("page_id", "company_id", "page_ord")
     rows = html.mails_of_both(parsed)
     # the second pass knows no type of page, and what it finds counts as found in text
     second = F.col("method") == "webextractor"
-    rows = rows.withColumn("source_page_type", F.when(second, "other").otherwise(urls.page_type(F.col("url"))))
+    rows = rows.withColumn("source_page_type", F.when(second, "other").otherwise(F.col("page_class")))
     # the first of a page by method and place; the rest says nothing new
     rows = choose.first_wins(rows.where("value <> ''"), ["page_id", "value"], ["method_ord", "pos"]).join(at, "page_id")
     rows = _new_to_company(rows, F.col("value"))
-    lead = F.array_join(F.slice(F.split(F.trim("near"), r"\s+"), 1, 2), " ")
-    rows = rows.withColumn("person_name", F.when((F.col("method") == "mailto") & contacts.looks_like_name(lead), lead).otherwise(""))
+    home = F.col("page_class") == "homepage"
+    told = lambda c: F.when(home, "").otherwise(F.col(c))
+    rows = rows.withColumn("person_name", told("person_name")).withColumn("job_title", told("job_title")).withColumn("role", contacts.title_role(F.col("job_title")))
     rows = rows.withColumn("domain", urls.email_domain(F.col("value"))).join(mx, "domain", "left")
-    valid = rows.withColumn("v", contacts.validated(F.col("value"), urls.host(F.col("url")), F.col("has_mx"))).where("v.keep")
-    named = valid.select(
-        "company_id", F.col("value").alias("email"), F.col("url").alias("source_url"), "source_page_type", F.when(second, "regex").otherwise(F.col("method")).alias("extraction_method"), "person_name", F.lit("").alias("job_title"), F.lit("").alias("role"),
+    valid = rows.withColumn("v", contacts.validated(F.col("value"), urls.host(F.col("url")), F.col("has_mx")))
+    return valid.select(
+        "company_id", F.col("value").alias("email"), F.col("url").alias("source_url"), "source_page_type", F.when(second, "regex").otherwise(F.col("method")).alias("extraction_method"), "person_name", "job_title", "role",
         F.lit(0).alias("confidence_score"), F.struct("page_ord", "page_id", "method_ord", "pos").alias("ord"), "v",
     )
-    merged = choose.merge_mailboxes(named, first=("v",))
+
+
+def contacts_of(pages: DataFrame, mx: DataFrame, parsed: DataFrame | None = None, mails: DataFrame | None = None) -> DataFrame:
+    """Ranked contacts of each company.
+
+    pages: (page_id, company_id, page_ord, url, html); mx: (domain, has_mx); parsed: the pages as html.parse() gives them, mails: mails_of(), if they were written. Rows are taken
+    in the order of page, method and place; the looser second pass comes last and adds what no earlier one gave. A mailbox that is malformed, disposable or not for replies is left out. Result: company_id, email_key,
+    source_url, best_source_url, all_source_urls, extraction_method, source_page_type, person_name, job_title, role, confidence_score, confidence_level, score_reasons, rank.
+    """
+    merged = choose.merge_mailboxes((mails_of(pages, mx, parsed) if mails is None else mails).where("v.keep"), first=("v",))
     score = contacts.confidence(F.col("extraction_method"), F.col("source_page_type"), F.col("v.syntax_valid"), F.col("v.mx_valid"), F.col("v.domain_match"), F.col("person_name"), F.col("role"), F.col("v.is_disposable"))
     scored = merged.drop("confidence_score").withColumn("c", score).select("*", F.col("c.score").alias("confidence_score"), F.col("c.level").alias("confidence_level"), F.col("c.reasons").alias("score_reasons"))
     return choose.ranked(scored).drop("c", "v")
 
 
-def company_results(companies: DataFrame, ranked: DataFrame, phones: DataFrame) -> DataFrame:
-    """(company_id, status, emails_found, phones_found, best_contact_email, best_contact_score): one row a company, found or not."""
-    mails = ranked.groupBy("company_id").agg(F.count(F.lit(1)).alias("emails_found"))
+def company_links(pages: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """(company_id, platform, link, ord): the profile links of a company, those of the looser second pass too, the first of each."""
+    parsed = html.parse(pages) if parsed is None else parsed
+    rows = html.socials_of_both(parsed).withColumn("link", F.when(F.col("method") == "webextractor", F.col("value")).otherwise(contacts.social_key(F.col("value"))))
+    rows = _new_to_company(rows.join(pages.select("page_id", "company_id", "page_ord"), "page_id"), contacts.social_key(F.col("value")))
+    first = choose.first_wins(rows, ["company_id", "link"], ["page_ord", "page_id", "method_ord", "pos"])
+    return first.select("company_id", "platform", "link", F.struct("page_ord", "page_id", "method_ord", "pos").alias("ord"))
+
+
+def company_results(companies: DataFrame, ranked: DataFrame, phones: DataFrame, links: DataFrame, mails: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
+    """One row a company, found or not: company_id, status, emails_found, emails_rejected, phones_found, social_links_found, best_contact_email, best_contact_name, best_contact_role,
+    best_contact_score, primary_phone, linkedin_url, facebook_url, instagram_url, error_message.
+
+    links: company_links(); mails: mails_of(), for what was rejected; failures: (company_id, error_message) of companies whose home page or run failed, which are
+    failed whatever else is known of them.
+    """
+    n = ranked.groupBy("company_id").agg(F.count(F.lit(1)).alias("emails_found"))
     calls = phones.groupBy("company_id").agg(F.countDistinct("phone").alias("phones_found"))
-    best = choose.best_contact(ranked).select("company_id", "best_contact_email", "best_contact_score")
-    x = companies.select("company_id").join(mails, "company_id", "left").join(calls, "company_id", "left").join(best, "company_id", "left").na.fill(0, ["emails_found", "phones_found"])
-    return x.withColumn("status", F.when((F.col("emails_found") > 0) | (F.col("phones_found") > 0), "completed").otherwise("no_contacts_found"))
+    profiles = links.groupBy("company_id").agg(F.count(F.lit(1)).alias("social_links_found"))
+    x = companies.select("company_id").distinct()
+    parts = [n, calls, profiles, choose.best_contact(ranked), choose.primary_phone(phones), choose.first_per_platform(links)]
+    if mails is not None:
+        parts.append(mails.groupBy("company_id").agg(F.count_if(~F.col("v.keep")).alias("emails_rejected")))
+    if failures is not None:
+        parts.append(failures.groupBy("company_id").agg(F.min(F.coalesce("error_message", F.lit(""))).alias("error_message")))
+    for part in parts:
+        x = x.join(part, "company_id", "left")
+    for c in ("emails_rejected",) if mails is None else ():
+        x = x.withColumn(c, F.lit(0).cast("bigint"))
+    x = x.withColumn("error_message", F.lit(None).cast("string")) if failures is None else x
+    counts = ["emails_found", "phones_found", "social_links_found", "emails_rejected"]
+    x = x.na.fill(0, counts)
+    found = (F.col("emails_found") > 0) | (F.col("phones_found") > 0) | (F.col("social_links_found") > 0)
+    status = F.when(F.col("error_message").isNotNull(), "failed").when(found, "completed").otherwise("no_contacts_found")
+    return x.select("company_id", status.alias("status"), *counts, "best_contact_email", "best_contact_name", "best_contact_role", "best_contact_score", "primary_phone", "linkedin_url", "facebook_url", "instagram_url", "error_message")
 
 
 def company_phones(pages: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
@@ -73,3 +109,17 @@ def merged_engines(hits: DataFrame, first: str, second: str, enough: int = 5, mo
     once = choose.first_wins(x, ["query", "url"], order)
     w = choose.Window.partitionBy("query").orderBy(*order)
     return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("query", "url", "place")
+
+
+def first_success(attempts: DataFrame) -> DataFrame:
+    """(page_id, ord, fetcher, status, html), the stored attempts at a page by rising cost -> (page_id, fetcher_used, html): the first with a status under 400 and a text; 'failed' and null if none."""
+    ok = (F.col("status") < 400) & (F.coalesce(F.length("html"), F.lit(0)) > 0)
+    best = attempts.groupBy("page_id").agg(F.min_by(F.when(ok, F.struct("fetcher", "html")), F.when(ok, F.col("ord"))).alias("b"))
+    return best.select("page_id", F.coalesce("b.fetcher", F.lit("failed")).alias("fetcher_used"), "b.html")
+
+
+def fallback_candidates(pages: DataFrame, found: DataFrame, least: int = 85, most: int = 5) -> DataFrame:
+    """(company_id, page_id, place): the pages worth a browser: without contacts (found: page_id), of priority `least` or more, the `most` best of each company."""
+    ranked = pages.join(found.select("page_id").distinct(), "page_id", "left_anti").select("company_id", "page_id", F.explode(F.array(urls.priority(F.col("url")))).alias("priority")).where(F.col("priority") >= least)
+    w = choose.Window.partitionBy("company_id").orderBy(F.desc("priority"), "page_id")
+    return ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("company_id", "page_id", "place")

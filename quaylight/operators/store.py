@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..session import cut
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, keep: list[str], order: list[Column | str]) -> DataFrame:
@@ -44,7 +45,8 @@ def with_ids(rows: DataFrame, existing: DataFrame, ident: str, order: list[Colum
     top = existing.agg(F.greatest(F.coalesce(F.max(ident) + 1, F.lit(least)), F.lit(least)).cast("bigint").alias("next")).first()["next"]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     w = Window.partitionBy("_p").orderBy(*order)
-    numbered = placed.withColumn("_k", F.row_number().over(w))
+    # written once: partitions and places in them are then the same for the sizes and for the rows, whatever is run again
+    numbered = cut(placed.withColumn("_k", F.row_number().over(w)))
     sizes = numbered.groupBy("_p").count()
     offsets = sizes.withColumn("_o", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_o")
     return numbered.join(offsets, "_p").withColumn(ident, F.lit(top) + F.col("_o") + F.col("_k") - 1).drop("_p", "_k", "_o")
@@ -63,6 +65,27 @@ def enqueue(queue: DataFrame, places: DataFrame) -> DataFrame:
     return marked.select("location", "place_key", "added", F.when(F.col("added"), F.lit(n) + at - 1).alias("priority"))
 
 
+def dequeue(queue: DataFrame, ids: list[int]) -> DataFrame:
+    """(queue_id, deleted, reason): for each of the ids whether it may be deleted: it must be there, and not running."""
+    asked = queue.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "queue_id bigint")
+    there = asked.join(queue.select(F.col("queue_id").cast("bigint").alias("queue_id"), "status"), "queue_id", "left")
+    reason = F.when(F.col("status").isNull(), "not found").when(F.col("status") == "running", "running").otherwise("")
+    return there.select("queue_id", (reason == "").alias("deleted"), reason.alias("reason"))
+
+
+def add_runs(queue: DataFrame, runs: DataFrame, order: list[Column | str]) -> DataFrame:
+    """The queue with new runs after it, each numbered on from the highest queue_id and with status queued; columns that runs lack are null."""
+    new = with_ids(runs, queue, "queue_id", order, least=1).withColumn("status", F.lit("queued"))
+    return queue.unionByName(new.select(*[c for c in queue.columns if c in new.columns]), allowMissingColumns=True)
+
+
+def merge_runs(stored: DataFrame, incoming: DataFrame, most: int = 100) -> DataFrame:
+    """Runs of two sources by run_id, those of incoming first, the newest `most` of them: the list is a report of recent runs."""
+    both = stored.withColumn("_s", F.lit(1)).unionByName(incoming.withColumn("_s", F.lit(0)), allowMissingColumns=True)
+    last = both.groupBy("run_id").agg(F.min_by(F.struct(*stored.columns), "_s").alias("r")).select("r.*")
+    return last.orderBy(F.desc_nulls_last("created_at"), "run_id").limit(most)
+
+
 def set_status(rows: DataFrame, where: Column, status: str) -> DataFrame:
     return rows.withColumn("status", F.when(F.coalesce(where, F.lit(False)), status).otherwise(F.col("status")))
 

@@ -89,14 +89,14 @@ def html_tel(spark, d):
     return html.tel(parsed(spark, d)).select("page_id", "value")
 
 
-@query("select c_custkey page_id, '+1 555 010 ' || lpad((c_custkey % 10000)::varchar, 4, '0') value from customer")
+@query("""with p as (select c_custkey page_id, lpad((c_custkey % 10000)::varchar, 4, '0') l from customer)
+ select page_id, '+1 555 010 ' || l value from p union select page_id, '555 010 ' || l from p""")
 def html_phones(spark, d):
-    p = html.text_phones(parsed(spark, d)).where("value like '+1 555%'")
-    return p.select("page_id", "value").distinct()
+    return html.text_phones(parsed(spark, d)).select("page_id", "value").distinct()
 
 
 @query("""select c_custkey page_id, 'linkedin' platform, 'https://www.linkedin.com/company/c-' || c_custkey link from customer union all select c_custkey, 'facebook', 'https://www.facebook.com/pub' || c_custkey from customer
- union all select c_custkey, 'instagram', 'https://www.instagram.com/c' || c_custkey from customer""")
+ union all select c_custkey, 'instagram', 'https://www.instagram.com/c' || c_custkey from customer union all select c_custkey, 'twitter', 'https://x.com/search' from customer""")
 def html_social(spark, d):
     from ..functions.contacts import social_key
 
@@ -120,9 +120,36 @@ def html_title_h1(spark, d):
     return parsed(spark, d).select("page_id", "title", F.get("headings", F.lit(0)).alias("h1"))
 
 
-@query("select c_custkey page_id, 'Ann Lee' person_name from customer")
+CARDS = [
+    # markup around a mailbox, the name and the title that it gives
+    ("<div><h3>{n}</h3><p>Managing Broker</p><a href='mailto:{m}'>Write to me today</a></div>", "{n}", "Managing Broker", "managing broker", 1),
+    ("<ul><li><strong>{n}</strong> <em>Sales Associate, east side</em><br><span data-email='{m}'>reach me</span></li></ul>", "{n}", "Sales Associate, east side", "sales associate", 2),
+    ("<table><tr><td>{n}<br>Team Leader<br>{m}</td></tr></table>", "{n}", "Team Leader", "team leader", 2),
+    ("<section><p>please write to us</p><p>{n}</p><p>Vice President<p>{m}</section>", "{n}", "Vice President", "president", 1),
+    ("<article><h2>{n} 555-010-1234</h2><p>Gardener since long ago</p><p>Mail: {m}</p></article>", "{n}", "", "", 0),
+    ("<div><b>{n}</b><div><span><i><u><a href='mailto:{m}?subject=x'>m</a></u></i></span></div><p>Careers desk of the firm</p></div>", "{n}", "", "", 0),
+]
+NAMES = ["Ann Lee", "Mary Jane Watson", "Ludwig van Beek", "Ana Maria de Souza Lima", "O'Neil Smith-Hart"]
+
+
+def cards(spark, d) -> DataFrame:
+    """Pages with two people each, in one of the shapes of CARDS."""
+    shape, name = F.col("c_custkey") % len(CARDS), F.col("c_custkey") % len(NAMES)
+    mail = F.concat(F.lit("p"), "c_custkey", F.lit("@site.example"))
+    body = F.coalesce(*[F.when(shape == k, F.lit(x[0])) for k, x in enumerate(CARDS)])
+    who = F.coalesce(*[F.when(name == k, F.lit(x)) for k, x in enumerate(NAMES)])
+    page = F.concat(F.lit("<html><head><title>Team</title></head><body><h1>Welcome</h1>"), F.replace(F.replace(body, F.lit("{n}"), who), F.lit("{m}"), mail), F.lit("<footer><div><h4>Head office desk</h4><p>Office hours by mail: desk@site.example</p></div></footer></body></html>"))
+    return spread(table(spark, d, "customer")).select(F.col("c_custkey").alias("page_id"), F.lit("https://s.example/team/").alias("url"), page.alias("html"))
+
+
+def _case(key: str, values: list[str]) -> str:
+    return f"case {key} % {len(values)} " + " ".join("when {} then '{}'".format(k, v.replace("'", "''")) for k, v in enumerate(values)) + " end"
+
+
+@query(f"""with p as (select c_custkey page_id, 'p' || c_custkey || '@site.example' mail, {_case("c_custkey", NAMES)} n, {_case("c_custkey", [x[2] for x in CARDS])} job_title, {_case("c_custkey", [x[3] for x in CARDS])} "role", ({_case("c_custkey", [str(x[4]) for x in CARDS])})::int tier from customer)
+ select page_id, mail, n person_name, job_title, "role", tier from p union all select page_id, 'desk@site.example', 'Head office desk', 'Head office desk', 'office', 3 from p""")
 def person_context(spark, d):
-    return html.person_near(parsed(spark, d)).select("page_id", "person_name")
+    return html.people(html.parse(cards(spark, d)))
 
 
 @query("select n_nationkey, '<b>' || n_name || '</b> & co' said from nation")
@@ -166,21 +193,30 @@ def site_mx(spark, d) -> DataFrame:
     return spark.createDataFrame([("site.example", True)], "domain string, has_mx boolean")
 
 
-SITE_CLASS = "case c_custkey % 3 when 0 then 10 when 1 then 20 else 0 end"
+SITE_CLASS = "case c_custkey % 3 when 0 then 10 when 1 then 20 else case c_custkey % 4 when 0 then 25 when 2 then 10 when 3 then 20 else 0 end end"
+# name and start of each mailbox, points of its method, and what stands beside it on other pages than the home page
+MADE = """(values ('box.', 30, 'Ann Lee', 'Managing Broker', 'managing broker', 30), ('ld', 25, '', '', '', 0), ('member', 25, '', '', '', 0), ('meta', 20, '', '', '', 0), ('attr', 15, 'Welcome', 'Contact', 'contact', 5), ('click', 15, 'Welcome', 'Contact', 'contact', 5),
+ ('hidden', 10, '', '', '', 0), ('js', 10, '', '', '', 0), ('text', 0, 'Welcome', 'Contact', 'contact', 5)) m(n, pts, who, title, role, more)"""
 
 
-@query(f"""with m(n, pts, seq) as (values ('box.', 45, 1), ('ld', 25, 7), ('member', 25, 8), ('meta', 20, 9), ('attr', 15, 5), ('click', 15, 6), ('hidden', 10, 4), ('js', 10, 10), ('text', 0, 3))
- select c_custkey company_id, n || c_custkey || '@site.example' email_key, greatest(0, pts + {SITE_CLASS} + 5 + 15 - 30) confidence_score, case when pts = 45 then 'Ann Lee' else '' end person_name from customer, m""")
+@query(f"""select c_custkey company_id, n || c_custkey || '@site.example' email_key, greatest(0, pts + {SITE_CLASS} + 5 + 15 - 30 + case when c_custkey % 3 <> 0 then more + case when who <> '' then 15 else 0 end else 0 end) confidence_score,
+ case when c_custkey % 3 <> 0 then who else '' end person_name, case when c_custkey % 3 <> 0 then title else '' end job_title, case when c_custkey % 3 <> 0 then role else '' end "role" from customer, {MADE}""")
 def pipeline_contacts(spark, d):
-    return pipeline.contacts_of(site_pages(spark, d), site_mx(spark, d)).select("company_id", "email_key", "confidence_score", "person_name")
+    return pipeline.contacts_of(site_pages(spark, d), site_mx(spark, d)).select("company_id", "email_key", "confidence_score", "person_name", "job_title", "role")
 
 
-@query(f"select c_custkey company_id, 'completed' status, 9::bigint emails_found, 'box.' || c_custkey || '@site.example' best_contact_email, 35 + {SITE_CLASS} best_contact_score from customer")
+@query(f"""select c_custkey company_id, case when c_custkey % 10 = 0 then 'failed' else 'completed' end status, 9::bigint emails_found, 0::bigint emails_rejected, 4::bigint social_links_found, 'box.' || c_custkey || '@site.example' best_contact_email,
+ case when c_custkey % 3 <> 0 then 'Ann Lee' else '' end best_contact_name, case when c_custkey % 3 <> 0 then 'managing broker' else '' end best_contact_role,
+ 20 + {SITE_CLASS} + case when c_custkey % 3 <> 0 then 45 else 0 end best_contact_score, '+1' || lpad(c_custkey::varchar, 10, '2') primary_phone, 'https://www.linkedin.com/company/c-' || c_custkey linkedin_url,
+ 'https://www.facebook.com/pub' || c_custkey facebook_url, 'https://www.instagram.com/c' || c_custkey instagram_url, case when c_custkey % 10 = 0 then 'timeout' end error_message from customer""")
 def pipeline_results(spark, d):
     p = site_pages(spark, d)
     once = cut(html.parse(p))
-    out = pipeline.company_results(p, pipeline.contacts_of(p, site_mx(spark, d), once), pipeline.company_phones(p, once))
-    return out.select("company_id", "status", "emails_found", "best_contact_email", "best_contact_score")
+    mx = site_mx(spark, d)
+    failed = p.where("company_id % 10 = 0").select("company_id", F.lit("timeout").alias("error_message"))
+    mails = cut(pipeline.mails_of(p, mx, once))
+    out = pipeline.company_results(p, pipeline.contacts_of(p, mx, mails=mails), pipeline.company_phones(p, once), pipeline.company_links(p, once), mails, failed)
+    return out.drop("phones_found")
 
 
 @query("""select p_size::varchar query, 'https://u' || p_partkey || '.example' url, place::int place from (select *, row_number() over (partition by p_size order by g, p_partkey) place from (

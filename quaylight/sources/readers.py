@@ -9,7 +9,23 @@ from pyspark.sql import functions as F
 from ..functions import urls
 
 # What is searched for where no template file is given.
-DEFAULT_TEMPLATES = [f"{what} in {{location}}" for what in ("real estate agency", "real estate brokerage", "realtor", "property management company", "real estate broker")]
+DEFAULT_TEMPLATES = [
+    "real estate company {location}",
+    "realtor {location}",
+    "property management company {location}",
+    "real estate agency {location}",
+    "property dealer {location}",
+    "real estate brokerage {location}",
+    "real estate agents {location}",
+    "home buying company {location}",
+    "commercial real estate {location}",
+    "residential real estate {location}",
+    "property investment {location}",
+    "real estate developers {location}",
+    "rental property management {location}",
+    "real estate consultants {location}",
+    "property appraisal {location}",
+]
 
 
 def companies(rows: DataFrame, place: str | None = None) -> DataFrame:

@@ -61,3 +61,18 @@ def empty(spark: SparkSession, rows: DataFrame, path: str) -> None:
 
 def tables(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())
+
+
+def quoted_line(*columns: str) -> Column:
+    """A line of values, each in quotes, quotes within doubled; null is empty."""
+    return F.concat_ws(",", *[F.concat(F.lit('"'), F.coalesce(F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit("")), F.lit('"')) for c in columns])
+
+
+def finder_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """Search results as quoted lines below a header, in the order of their rows."""
+    rows.select(*columns).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def site_list(rows: DataFrame, path: str, column: str = "website") -> None:
+    """One address a line."""
+    rows.where(F.coalesce(F.col(column), F.lit("")) != "").select(column).write.mode("overwrite").text(path)

@@ -125,3 +125,27 @@ def upsert_each_batch(path_of, key: str, keep: list[str], order: list):
         upsert(before, batch, key, keep, order).write.mode("overwrite").parquet(path_of(batch_id))
 
     return put
+
+
+def log_state(lines: DataFrame) -> DataFrame:
+    """(log, line_no, line) -> (log, last_running, place, last_progress, percent): the last place that a log says is running, and the last progress that it tells, with their lines.
+
+    All are aggregates over lines, so a log of any length and any number of logs are one pass.
+    """
+    running, progress = F.regexp_extract("line", r"RUNNING:\s*(.*?)\s*$", 1), F.regexp_extract("line", r"^Progress:.*\(([0-9]+)%\)", 1)
+    at_run, at_progress = F.when(running != "", F.col("line_no")), F.when(progress != "", F.col("line_no"))
+    return lines.groupBy("log").agg(F.max(at_run).alias("last_running"), F.max_by(running, at_run).alias("place"), F.max(at_progress).alias("last_progress"), F.max_by(progress, at_progress).try_cast("int").alias("percent"))
+
+
+def poll_reports(lines: DataFrame, line_bytes: int, least_bytes: int = 50, stuck_after: int = 3) -> DataFrame:
+    """(process, poll, completes), the log lines of each poll -> (process, poll, lines, completed, progress, event).
+
+    A poll has progress if its log grew by `least_bytes` or a company was completed; without it the event is 'stuck' once `stuck_after` polls have gone
+    by since the last progress, 'quiet' before. Lines are added up for each poll first, so a window holds polls and not lines.
+    """
+    polls = lines.groupBy("process", "poll").agg(F.count(F.lit(1)).alias("n"), F.count_if("completes").alias("done"))
+    w = Window.partitionBy("process").orderBy("poll")
+    moved = (F.col("n") * line_bytes >= least_bytes) | (F.col("done") > 0)
+    out = polls.select("process", "poll", F.sum("n").over(w).alias("lines"), F.sum("done").over(w).alias("completed"), moved.alias("progress"), F.max(F.when(moved, F.col("poll"))).over(w).alias("last"))
+    gone = F.col("poll") - F.coalesce("last", "poll")
+    return out.select("process", "poll", "lines", "completed", "progress", F.when(F.col("progress"), "ok").when(gone >= stuck_after, "stuck").otherwise("quiet").alias("event"))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quaylight.plans import functions, pages, registry, streams, tables  # noqa: F401
+from quaylight.plans import functions, pages, registry, state, streams, tables  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
