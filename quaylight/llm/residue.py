@@ -158,21 +158,16 @@ def templates_of(mined: DataFrame) -> DataFrame:
     return lists.select("leaf", text.alias("template"), "n", "seeds", F.least(F.size(F.array_distinct("hosts")), F.lit(SPREAD)).alias("spread"))
 
 
-def describe(template: str, n: int, spread: int) -> list[str]:
-    """The features of a template: its words and pairs of them, their number, how much of it differs, and over how many unlike hosts it is spread."""
-    words = template.lower().split(" ")
-    bare = [re.sub(r"^\W+|\W+$", "", w) or w for w in words]
-    wild = sum(w == "<*>" for w in words)
-    apart = f"{min(4, int(np.log2(max(1, spread))))}"
-    return [
-        *{f"w {w}" for w in bare}, *{f"p {a} {b}" for a, b in zip(bare, bare[1:])}, f"begin {' '.join(bare[:2])}", f"length {min(30, len(words)) // 3}", f"spread {apart}", f"spread {apart} {len(words) // 4}", f"again {n > 1 and spread <= 1}", f"wild {wild > 0} {apart}",
-    ]
-
-
-def fit(rows: list[tuple[int, str, int, int, bool]], folds: int = 5, seed: int = 3) -> list[tuple[np.ndarray, float]]:
-    """From (leaf, template, n, spread, seed) to one model for each fold of the leaves, which has not seen that fold: a seed is learned from others like it only."""
+def describe(template: str) -> list[str]:
+    """The features of a template: its words, their beginnings and the pairs of them. How often and how widely it is spread is none, as that grows with the table."""
+    bare = [re.sub(r"^\W+|\W+$", "", w) or w for w in template.lower().split(" ")]
+    return [*{f"w {w}" for w in bare}, *{f"p {a} {b}" for a, b in zip(bare, bare[1:])}, f"begin {' '.join(bare[:2])}", *{f"c {w[:4]}" for w in bare if len(w) > 5}]
+
+
+def fit(rows: list[tuple[int, str, bool]], folds: int = 5, seed: int = 3) -> list[tuple[np.ndarray, float]]:
+    """From (leaf, template, seed) to one model for each fold of the leaves, which has not seen that fold: a seed is learned from others like it only."""
     fold = np.array([r[0] % folds for r in rows], int)
-    feats, y = [hashed(describe(*r[1:4])) for r in rows], np.array([float(r[4]) for r in rows])
+    feats, y = [hashed(describe(r[1])) for r in rows], np.array([float(r[2]) for r in rows])
     out = []
     for k in range(folds):
         use = np.flatnonzero(fold != k)
@@ -181,21 +176,20 @@ def fit(rows: list[tuple[int, str, int, int, bool]], folds: int = 5, seed: int =
     return out
 
 
-def margins(models: list[tuple[np.ndarray, float]], leaf: Iterable[int], template: Iterable[str], n: Iterable[int], spread: Iterable[int]) -> np.ndarray:
+def margins(models: list[tuple[np.ndarray, float]], leaf: Iterable[int], template: Iterable[str]) -> np.ndarray:
     """How much speaks for a message in each template, by the model of the folds it is not in."""
-    return np.array([w[hashed(describe(t, m, s))].sum() + b for x, t, m, s in zip(leaf, template, n, spread) for w, b in [models[x % len(models)]]], float)
+    return np.array([w[hashed(describe(t))].sum() + b for x, t in zip(leaf, template) for w, b in [models[x % len(models)]]], float)
 
 
-def residue(records: DataFrame, ident: str, fields: list[str], host: str | None = None, depth: int = 4, sample: int = 20_000, trust: float = 8.0, doubt: float = 0.25) -> DataFrame:
+def residue(records: DataFrame, ident: str, fields: list[str], host: str | None = None, depth: int = 4, sample: int = 10_000, trust: float = 8.0, doubt: float = 1.0) -> DataFrame:
     """(ident, field_name, kind) of each value that is, or contains, residue; kind is 'message' or 'slot'.
 
     records: any columns; ident (an integer), the fields and host (the site of a record, if known) name some of them. Null, empty and blank values are no residue.
     A record delivered several times gives its rows once. Every value is mined and searched whole. An empty table gives an empty result.
 
-    Values are grouped to templates by a fixed-depth prefix tree. Known wordings are seed labels only: a linear model over the words of templates, their spread over
-    unlike hosts and their wildcards is fitted on at most 2 * `sample` templates (a documented bound, taken by leaf) and judges each template once, by folds that it
-    is not in. Its values take the verdict over: a seed is a message unless the template's margin speaks against it by `trust`, another value is one if it
-    speaks for it by `doubt`. Unresolved slots are looked for in each value itself.
+    Values are grouped to templates by a fixed-depth prefix tree. Known wordings are seed labels only: a linear model over the words of templates is fitted on at most 2 * `sample` of them (a documented bound, taken by leaf; of each its first 500
+    characters) and judges each template once, by folds that it is not in. Its values take the verdict over: a seed is a message unless the template's margin speaks
+    against it by `trust`; another value is one if it speaks for it by `doubt`, and the template is spread over unlike hosts, as messages of servers and builders are. Unresolved slots are looked for in each value itself.
     """
     stack = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("v")) for f in fields]))
     site = F.xxhash64(F.lower(F.regexp_extract(F.coalesce(F.col(host), F.lit("")), r"^(?:[A-Za-z]+:/+)?(?:www\.)?([^/?#]*)", 1))) if host else F.lit(None).cast("bigint")
@@ -204,7 +198,7 @@ def residue(records: DataFrame, ident: str, fields: list[str], host: str | None
     templates = cut(templates_of(mined))
     drawn = []
     for kind in ("seeds = n", "seeds = 0"):
-        drawn += templates.where(kind).orderBy("leaf").limit(sample).select("leaf", F.substring("template", 1, 2_000), "n", "spread", F.expr("seeds > 0")).collect()
+        drawn += templates.where(kind).orderBy("leaf").limit(sample).select("leaf", F.substring("template", 1, 500), F.expr("seeds > 0")).collect()
     models = fit([tuple(r) for r in drawn])
     packed = [(np.flatnonzero(w).astype(np.int32), w[np.flatnonzero(w)].astype(np.float32), b) for w, b in models]
 
@@ -215,10 +209,10 @@ def residue(records: DataFrame, ident: str, fields: list[str], host: str | None
             w[at] = x
             known.append((w, bias))
         for b in batches:
-            yield pd.DataFrame({"leaf": b["leaf"], "margin": margins(known, b["leaf"], b["template"], b["n"], b["spread"])})
+            yield pd.DataFrame({"leaf": b["leaf"], "margin": margins(known, b["leaf"], b["template"]), "spread": b["spread"]})
 
-    judged = templates.mapInPandas(judge, "leaf bigint, margin double")
+    judged = templates.mapInPandas(judge, "leaf bigint, margin double, spread int")
     told = mined.where("id is not null").select("id", "field_name", "leaf", "slot", "seed").distinct().join(judged, "leaf")
-    message = F.col("margin") + F.when(F.col("seed"), trust).otherwise(-doubt) > 0
+    message = F.when(F.col("seed"), F.col("margin") > -trust).otherwise((F.col("margin") > doubt) & (F.col("spread") > 1))
     found = told.withColumn("kind", F.when(message, "message").when(F.col("slot"), "slot")).where("kind is not null")
     return found.select(F.col("id").cast(records.schema[ident].dataType).alias(ident), "field_name", "kind").distinct()
