@@ -47,8 +47,18 @@ def ranked(rows: DataFrame, company: str = "company_id", tie: str = "first_ord")
 
 
 def best_contact(rank: DataFrame, company: str = "company_id") -> DataFrame:
+    return rank.where("rank = 1").select(company, *_as_best())
+
+
+def _as_best() -> list[Column]:
     role = F.coalesce(F.nullif(F.trim("role"), F.lit("")), F.col("job_title"))
-    return rank.where("rank = 1").select(company, F.col("email_key").alias("best_contact_email"), F.col("person_name").alias("best_contact_name"), role.alias("best_contact_role"), F.col("confidence_score").alias("best_contact_score"))
+    return [F.col("email_key").alias("best_contact_email"), F.col("person_name").alias("best_contact_name"), role.alias("best_contact_role"), F.col("confidence_score").alias("best_contact_score")]
+
+
+def best_and_count(rank: DataFrame, company: str = "company_id") -> DataFrame:
+    """best_contact() and emails_found, the number of contacts, in one pass over them."""
+    both = rank.groupBy(company).agg(F.count(F.lit(1)).alias("emails_found"), F.min_by(F.struct(*_as_best()), F.when(F.col("rank") == 1, 1)).alias("b"))
+    return both.select(company, "emails_found", "b.*")
 
 
 def wide(rank: DataFrame, value: str, prefix: str, n: int, company: str = "company_id") -> DataFrame:
@@ -59,13 +69,21 @@ def wide(rank: DataFrame, value: str, prefix: str, n: int, company: str = "compa
 
 def first_per_platform(links: DataFrame, company: str = "company_id") -> DataFrame:
     """The first link of each platform of a company: linkedin_url, facebook_url, instagram_url."""
-    return links.groupBy(company).agg(*[F.min_by(F.when(F.col("platform") == p, F.col("link")), F.when(F.col("platform") == p, F.col("ord"))).alias(f"{p}_url") for p in ("linkedin", "facebook", "instagram")])
+    return links.groupBy(company).agg(*platform_urls())
+
+
+def platform_urls() -> list[Column]:
+    return [F.min_by(F.when(F.col("platform") == p, F.col("link")), F.when(F.col("platform") == p, F.col("ord"))).alias(f"{p}_url") for p in ("linkedin", "facebook", "instagram")]
 
 
 def primary_phone(phones: DataFrame, company: str = "company_id") -> DataFrame:
     """The first number of a company that is no fax."""
+    return phones.groupBy(company).agg(main_number())
+
+
+def main_number() -> Column:
     ok = ~F.coalesce(F.col("is_fax"), F.lit(False))
-    return phones.groupBy(company).agg(F.min_by(F.when(ok, F.col("phone")), F.when(ok, F.col("ord"))).alias("primary_phone"))
+    return F.min_by(F.when(ok, F.col("phone")), F.when(ok, F.col("ord"))).alias("primary_phone")
 
 
 def first_hits(hits: DataFrame, min_score: int = 1, exclude: list[str] | None = None) -> DataFrame:

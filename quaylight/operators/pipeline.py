@@ -9,6 +9,15 @@ from ..functions import contacts, urls
 from . import choose, html
 
 
+def _of_company(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows drawn from pages, with the company and the order of their page.
+
+    Both sides grow with the pages. Rows that an array gives are estimated as one a page, so that either side may seem small enough to be sent to the driver and from
+    there to all executors, which it isn't: they are always merged.
+    """
+    return rows.join(pages.select("page_id", "company_id", "page_ord").hint("merge"), "page_id")
+
+
 def _new_to_company(rows: DataFrame, key: Column) -> DataFrame:
     """Rows without those of the second pass whose value an earlier page of the company gave already."""
     place = F.struct("page_ord", "page_id", "method_ord", "pos")
@@ -22,14 +31,13 @@ def mails_of(pages: DataFrame, mx: DataFrame, parsed: DataFrame | None = None) -
     The name and title beside a mailbox are those of people(), of every page but a home page; the role is that of the title.
     """
     parsed = html.parse(pages) if parsed is None else parsed
-    at = pages.select("page_id", "company_id", "page_ord")
     rows = html.mails_of_both(parsed)
     # the second pass knows no type of page, and what it finds counts as found in text
     second = F.col("method") == "webextractor"
     rows = rows.withColumn("source_page_type", F.when(second, "other").otherwise(F.col("page_class")))
     # the first of a page by method and place; the rest says nothing new
-    rows = choose.first_wins(rows.where("value <> ''"), ["page_id", "value"], ["method_ord", "pos"]).join(at, "page_id")
-    rows = _new_to_company(rows, F.col("value"))
+    rows = choose.first_wins(rows.where("value <> ''"), ["page_id", "value"], ["method_ord", "pos"])
+    rows = _new_to_company(_of_company(rows, pages), F.col("value"))
     home = F.col("page_class") == "homepage"
     told = lambda c: F.when(home, "").otherwise(F.col(c))
     rows = rows.withColumn("person_name", told("person_name")).withColumn("job_title", told("job_title")).withColumn("role", contacts.title_role(F.col("job_title")))
@@ -58,7 +66,7 @@ def company_links(pages: DataFrame, parsed: DataFrame | None = None) -> DataFram
     """(company_id, platform, link, ord): the profile links of a company, those of the looser second pass too, the first of each."""
     parsed = html.parse(pages) if parsed is None else parsed
     rows = html.socials_of_both(parsed).withColumn("link", F.when(F.col("method") == "webextractor", F.col("value")).otherwise(contacts.social_key(F.col("value"))))
-    rows = _new_to_company(rows.join(pages.select("page_id", "company_id", "page_ord"), "page_id"), contacts.social_key(F.col("value")))
+    rows = _new_to_company(_of_company(rows, pages), contacts.social_key(F.col("value")))
     first = choose.first_wins(rows, ["company_id", "link"], ["page_ord", "page_id", "method_ord", "pos"])
     return first.select("company_id", "platform", "link", F.struct("page_ord", "page_id", "method_ord", "pos").alias("ord"))
 
@@ -70,11 +78,11 @@ def company_results(companies: DataFrame, ranked: DataFrame, phones: DataFrame,
     links: company_links(); mails: mails_of(), for what was rejected; failures: (company_id, error_message) of companies whose home page or run failed, which are
     failed whatever else is known of them.
     """
-    n = ranked.groupBy("company_id").agg(F.count(F.lit(1)).alias("emails_found"))
-    calls = phones.groupBy("company_id").agg(F.countDistinct("phone").alias("phones_found"))
-    profiles = links.groupBy("company_id").agg(F.count(F.lit(1)).alias("social_links_found"))
+    # each of the three is read once, for what is counted and what is chosen
+    calls = phones.groupBy("company_id").agg(F.countDistinct("phone").alias("phones_found"), choose.main_number())
+    profiles = links.groupBy("company_id").agg(F.count(F.lit(1)).alias("social_links_found"), *choose.platform_urls())
     x = companies.select("company_id").distinct()
-    parts = [n, calls, profiles, choose.best_contact(ranked), choose.primary_phone(phones), choose.first_per_platform(links)]
+    parts = [choose.best_and_count(ranked), calls, profiles]
     if mails is not None:
         parts.append(mails.groupBy("company_id").agg(F.count_if(~F.col("v.keep")).alias("emails_rejected")))
     if failures is not None:
@@ -95,7 +103,7 @@ def company_phones(pages: DataFrame, parsed: DataFrame | None = None) -> DataFra
     """(company_id, phone, country, is_fax, is_mobile, ord): the numbers of a company, those of the looser second pass too, the first of each."""
     parsed = html.parse(pages) if parsed is None else parsed
     found = html.phones_of_both(parsed)
-    rows = found.join(pages.select("page_id", "company_id", "page_ord"), "page_id").withColumn("phone", contacts.phone_key(F.col("value")))
+    rows = _of_company(found, pages).withColumn("phone", contacts.phone_key(F.col("value")))
     first = choose.first_wins(rows.where("phone <> ''"), ["company_id", "phone"], ["page_ord", "page_id", "method_ord", "pos"])
     near = F.coalesce("near", F.lit(""))
     return first.select("company_id", "phone", contacts.phone_country(F.col("phone")).alias("country"), contacts.is_fax(near).alias("is_fax"), contacts.is_mobile(near).alias("is_mobile"), F.struct("page_ord", "page_id", "method_ord", "pos").alias("ord"))
